@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from corrello.llm.packing import op10_best_fit_packing
+from corrello.llm.quality_classifier import op3_quality_classifier
+from corrello.llm.quality_rules import op2_quality_rules
 from corrello.llm.simhash import op6_simhash_near_dedup
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

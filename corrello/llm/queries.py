@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corrello.llm.byte_bpe import op4_byte_level_bpe
+from corrello.llm.lm_scoring import op9_lm_scoring
 from corrello.llm.packing import op10_best_fit_packing
 from corrello.llm.quality_classifier import op3_quality_classifier
 from corrello.llm.quality_rules import op2_quality_rules
@@ -10,7 +12,9 @@ from corrello.llm.simhash import op6_simhash_near_dedup
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_byte_level_bpe": op4_byte_level_bpe,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from corrello.llm.byte_bpe import op4_byte_level_bpe
+from corrello.llm.html_extract import op8_html_extraction
 from corrello.llm.lm_scoring import op9_lm_scoring
 from corrello.llm.packing import op10_best_fit_packing
 from corrello.llm.quality_classifier import op3_quality_classifier
 from corrello.llm.quality_rules import op2_quality_rules
+from corrello.llm.warc import OP7_SQL, op7_warc_round_trip
 from corrello.llm.simhash import op6_simhash_near_dedup
 
 QUERIES = {
@@ -14,8 +16,12 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_byte_level_bpe": op4_byte_level_bpe,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_warc_round_trip": op7_warc_round_trip,
+    "op8_html_extraction": op8_html_extraction,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc_round_trip": OP7_SQL,
+}

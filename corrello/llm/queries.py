@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from corrello.llm.byte_bpe import op4_byte_level_bpe
+from corrello.llm.chat_format import op5_chat_formatting
 from corrello.llm.html_extract import op8_html_extraction
 from corrello.llm.lm_scoring import op9_lm_scoring
 from corrello.llm.packing import op10_best_fit_packing
 from corrello.llm.quality_classifier import op3_quality_classifier
 from corrello.llm.quality_rules import op2_quality_rules
+from corrello.llm.topk_search import OP1_SQL, op1_topk_search
 from corrello.llm.warc import OP7_SQL, op7_warc_round_trip
 from corrello.llm.simhash import op6_simhash_near_dedup
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_byte_level_bpe": op4_byte_level_bpe,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_warc_round_trip": op7_warc_round_trip,
     "op8_html_extraction": op8_html_extraction,
@@ -23,5 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": OP1_SQL,
     "op7_warc_round_trip": OP7_SQL,
 }

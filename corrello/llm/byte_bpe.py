@@ -32,8 +32,8 @@ from corrello.store import keep, table
 CHUNK, OVERLAP = 32_768, 512
 #: A match this near a chunk's end may depend on text beyond it.
 DOUBT = 3
-#: Pieces whose ids a worker remembers.
-CACHE = 300_000
+#: Pieces whose ids a worker remembers in each of two generations.
+CACHE = 400_000
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -50,20 +50,21 @@ class Codec:
         for raw, i in ranks.items():
             self.bytes_of[i] = raw
         self.scan = regex.compile(pattern)
-        self.seen: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, pieces: list[str]) -> bytes:
         """Little-endian unsigned 32-bit ids of pre-tokens, each by itself."""
-        seen = self.seen
-        if len(seen) > CACHE:
-            seen = self.seen = {}
         try:
-            return b"".join([seen[p] for p in pieces])
+            return b"".join([self.young[p] for p in pieces])
         except KeyError:
+            if len(self.young) > CACHE:  # the young generation becomes the old one
+                self.old, self.young = self.young, {}
+            young, old, encode = self.young, self.old, self.bpe.encode_ordinary
             for p in pieces:
-                if p not in seen:
-                    seen[p] = np.array(self.bpe.encode_ordinary(p), "<u4").tobytes()
-            return b"".join([seen[p] for p in pieces])
+                if p not in young:
+                    young[p] = old.get(p) or np.array(encode(p), "<u4").tobytes()
+            return b"".join([young[p] for p in pieces])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

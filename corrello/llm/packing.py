@@ -24,18 +24,24 @@ from pyspark.sql import functions as F
 from corrello.store import keep, table
 
 SIZE, OPEN_BINS, PER_TASK = 2048, 1024, 64_000_000
-#: Words whose ids a worker remembers.
-CACHE = 300_000
+#: Words whose ids a worker remembers in each of two generations.
+CACHE = 500_000
+#: New words encoded at a time, and the mark between them.
+BATCH, MARK = 2_000, "\x02"
 #: White space to the tokenizer's pattern; str.split also splits at U+001C-1F.
-_SPLIT, _ODD = re.compile("[\t-\r \x85\xa0  -     　]+"), re.compile("[\x1c-\x1f]")
+_SPLIT = re.compile("[\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+_ODD = re.compile("[\\x1c-\\x1f]")
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """Token ids of texts, by white-space separated words that are remembered.
 
-    The tokenizer drops white space and no token, normalisation or match spans
-    it, so words may be encoded apart.
+    The tokenizer drops white space, and no token, normalisation or match spans
+    it, so words may be encoded apart.  New words go to the tokenizer joined by a
+    mark that is one token of its own; words that hold the mark go one by one.
+    When the young generation of remembered words is full, it becomes the old one;
+    words found there are young again.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,21 +50,47 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.seen: dict[str, bytes] = {}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        young = self.young
+        if len(young) > CACHE:
+            self.old, self.young = young, {}
+            young = self.young
+        new = []
+        for w in {w for w in words if w not in young}:
+            known = self.old.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                young[w] = known
+        alone = [w for w in new if self.mark is None or MARK in w]
+        new = [w for w in new if w not in alone] if alone else new
+        for w in alone:
+            young[w] = self._ids(w).tobytes()
+        for at in range(0, len(new), BATCH):
+            part = new[at : at + BATCH]
+            ids = self._ids(f" {MARK} ".join(part))
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                young[w] = raw[4 * start : 4 * end]
+                start = end + 1
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         words = text.split() if not _ODD.search(text) else [w for w in _SPLIT.split(text) if w]
-        if len(self.seen) > CACHE:
-            self.seen = {}
         try:
-            return b"".join([self.seen[w] for w in words])
+            return b"".join([self.young[w] for w in words])
         except KeyError:
-            seen = self.seen
-            new = list({w for w in words if w not in seen})
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                seen[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([seen[w] for w in words])
+            self._learn(words)
+            return b"".join([self.young[w] for w in words])
 
 
 def encoder(path: str) -> WordEncoder:

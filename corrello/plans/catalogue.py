@@ -1,6 +1,582 @@
-"""Registered queries over the driver's tables and their DuckDB counterparts."""
+"""Registered queries over the driver's tables and their DuckDB counterparts.
+
+Each query applies library operators to whole tables.  A key without SQL is one
+that SQL cannot express or is too slow for; tests/ hold it against brute force.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from corrello.functions import html, indicators, scoring, text
+from corrello.operators import dedup, evidence, graph, pivots, search, similarity, state
+from corrello.operators.components import connected_components
+from corrello.store import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: A small neutral profile whose words occur in ordinary prose.
+PROFILE = {
+    "topic_terms": {"the": 0.5, "und": 0.5, "la": 0.4, "that": 1.0, "les": 0.6},
+    "harm_terms": {"with": 0.8, "der": 0.7, "que": 0.9, "from": 1.2},
+    "campaign_terms": {"nicht": 1.1},
+    "lure_keywords": ["the", "with", "that", "der", "que"],
+    "lure_types": {
+        "first": {"keywords": {"the": 1.0, "tion": 1.0}, "min_score": 1.5},
+        "second": {"keywords": {"ung": 1.0, "sch": 0.5, "ein": 0.5}, "min_score": 1.5},
+        "third": {"keywords": {"que": 1.0, "ci": 1.0}},
+    },
+    "stages": {"opening": ["with", "avec"], "middle": ["und", "los"], "end": ["licens", "contact"]},
+}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+# ---------------------------------------------------------------- similarity
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+_NORMAL = r"""trim(regexp_replace(regexp_replace(replace(lower(regexp_replace(text, 'https?://\S+|\S+\.\S+/\S*', ' ', 'g')), '’', ''''), '[^\p{L}\p{M}\p{Nd}\p{Pc}\s''$@#.-]', ' ', 'g'), '\s+', ' ', 'g'), ' .-')"""
+_SHINGLES = f"""
+n AS (SELECT doc_id, list_filter(string_split({_NORMAL}, ' '), lambda w: w <> '' AND w NOT IN ({_STOP})) AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM n)
+"""
+_PAIRS = f"""
+{_SHINGLES},
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM g WHERE len(s) >= 6),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM t a JOIN t b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b, k / (na + nb - k) AS j FROM o WHERE k / (na + nb - k) >= 0.3)
+"""
+
+
+@query("shingle_pairs", f"WITH {_PAIRS} SELECT a, b, round(j, 3) AS jaccard FROM p")
+def shingle_pairs(spark, sf_dir):
+    """Exact Jaccard >= 0.3 pairs of word-bigram sets."""
+    return similarity.similar_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", 0.3)
+
+
+@query(
+    "near_dup_components",
+    f"""WITH RECURSIVE {_PAIRS},
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT node AS doc_id, min(root) AS component FROM r GROUP BY node""",
+)
+def near_dup_components(spark, sf_dir):
+    """Connected classes of similar documents; copies are never expanded."""
+    members, pairs = similarity.similar_classes(table(spark, sf_dir, "documents"), "doc_id", "text", 0.3)
+    sizes = members.groupBy("set_key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    links = pairs.select("a", "b").union(sizes.where("n > 1").select(F.col("set_key").alias("a"), F.col("set_key").alias("b")))
+    classes = connected_components(links)
+    named = classes.join(sizes, classes.node == sizes.set_key).withColumn("low", F.min("first").over(W.partitionBy("component")))
+    return members.join(named.select("set_key", "low"), "set_key").select(F.col("id").alias("doc_id"), F.col("low").alias("component"))
+
+
+@query(
+    "shingle_stats",
+    f"WITH {_SHINGLES}, t AS (SELECT doc_id, unnest(s) AS sh FROM g), d AS (SELECT sh, count(*) AS df FROM t GROUP BY 1) "
+    "SELECT df, count(*) AS n_shingles FROM d GROUP BY 1",
+)
+def shingle_stats(spark, sf_dir):
+    """How many shingles occur in how many documents."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.shingles(F.col("text"))).alias("sh"))
+    return rows.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).groupBy("df").agg(F.count(F.lit(1)).alias("n_shingles"))
+
+
+@query(
+    "embedding_pairs",
+    "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b "
+    "ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35",
+)
+def embedding_pairs(spark, sf_dir):
+    found = similarity.embedding_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35)
+    return found.select("a", "b", F.round("cosine", 5).alias("cosine"))
+
+
+@query("minhash_estimates")
+def minhash_estimates(spark, sf_dir):
+    """MinHash estimate of similar pairs beside their exact Jaccard."""
+    docs = table(spark, sf_dir, "documents")
+    pairs = similarity.similar_pairs(docs, "doc_id", "text", 0.3)
+    signed = docs.select("doc_id", similarity.minhash(text.shingles(F.col("text"))).alias("m"))
+    both = pairs.join(signed.toDF("a", "ma"), "a").join(signed.toDF("b", "mb"), "b")
+    return both.select("a", "b", "jaccard", similarity.estimated_jaccard(F.col("ma"), F.col("mb")).alias("estimate"))
+
+
+_CONT = r"""string_split(trim(regexp_replace(lower({0}), '[\s\p{{P}}]+', ' ', 'g')), ' ')"""
+
+
+@query(
+    "contamination_join",
+    f"""WITH d AS (SELECT doc_id AS id, {_CONT.format("text")} AS w FROM documents), b AS (SELECT item_id AS id, {_CONT.format("text")} AS w FROM benchmark),
+ds AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM d WHERE len(w) >= 8),
+bs AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM b WHERE len(w) >= 8)
+SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY 1, 2""",
+)
+def contamination_join(spark, sf_dir):
+    """8-word shingles that documents share with benchmark items."""
+
+    def grams(df, id_col):
+        w = F.split(F.trim(F.regexp_replace(F.lower("text"), r"(?U)[\s\p{P}]+", " ")), " ")
+        rows = df.select(F.col(id_col), w.alias("w")).where(F.size("w") >= 8)
+        each = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))
+        return rows.select(id_col, F.explode(F.array_distinct(each)).alias("s"))
+
+    both = grams(table(spark, sf_dir, "documents"), "doc_id").join(grams(table(spark, sf_dir, "benchmark"), "item_id"), "s")
+    return both.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
+# ---------------------------------------------------------------- indicators
+
+
+def _of_type(spark, sf_dir, kinds):
+    return indicators.observables(table(spark, sf_dir, "documents"), "doc_id").where(F.col("type").isin(kinds)).select("doc_id", "type", "value")
+
+
+@query(
+    "extract_email",
+    r"SELECT DISTINCT doc_id, 'email' AS type, rtrim(lower(unnest(regexp_extract_all(text, '(?i)[\p{L}\p{M}\p{Nd}\p{Pc}.+-]+@(?:[a-z0-9-]+\.)+[a-z]{2,24}'))), '.') AS value FROM documents",
+)
+def extract_email(spark, sf_dir):
+    return _of_type(spark, sf_dir, ["email"])
+
+
+@query(
+    "extract_ip",
+    r"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(' ' || text || ' ', '[^0-9.]((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:[^0-9.]|\.\s|\.$)', 1)) AS value FROM documents),
+o AS (SELECT doc_id, value, list_transform(string_split(value, '.'), lambda v: CAST(v AS INTEGER)) AS q FROM x WHERE NOT regexp_matches(value, '(^|\.)0[0-9]'))
+SELECT DISTINCT doc_id, 'ip' AS type, value FROM o WHERE len(list_filter(q, lambda v: v > 255)) = 0 AND NOT (q[1] IN (0, 10, 127) OR q[1] >= 224 OR (q[1] = 169 AND q[2] = 254)
+OR (q[1] = 172 AND q[2] BETWEEN 16 AND 31) OR (q[1] = 192 AND q[2] = 168) OR (q[1] = 192 AND q[2] = 0 AND q[3] IN (0, 2)) OR (q[1] = 198 AND q[2] IN (18, 19))
+OR (q[1] = 198 AND q[2] = 51 AND q[3] = 100) OR (q[1] = 203 AND q[2] = 0 AND q[3] = 113))""",
+)
+def extract_ip(spark, sf_dir):
+    return _of_type(spark, sf_dir, ["ip"])
+
+
+@query(
+    "extract_hash",
+    r"""WITH x AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '\b[a-fA-F0-9]+\b'))) AS value FROM documents)
+SELECT DISTINCT doc_id, CASE len(value) WHEN 32 THEN 'md5' WHEN 40 THEN 'sha1' ELSE 'sha256' END AS type, value FROM x WHERE len(value) IN (32, 40, 64)""",
+)
+def extract_hash(spark, sf_dir):
+    return _of_type(spark, sf_dir, ["md5", "sha1", "sha256"])
+
+
+@query("extract_all_types")
+def extract_all_types(spark, sf_dir):
+    """Every indicator type over page addresses and documents together."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), "page_id").alias("id"), F.col("url").alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), "doc_id").alias("id"), "text")
+    return indicators.observables(pages.union(docs), "id", tlds=[*indicators.COMMON_TLDS, "example"])
+
+
+_HOST = r"lower(regexp_extract(url, '(?i)^https?://(?:[^/?#]*@)?([^/:?#]+)', 1))"
+
+
+@query("page_hosts", f"SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1")
+def page_hosts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(indicators.host_of(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "registrable_domain",
+    f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), p AS (SELECT page_id, host, string_split(host, '.') AS l FROM h)
+SELECT page_id, host, CASE WHEN len(l) >= 3 AND l[-2] IN ('co','com','org','net','ac','gov','edu') AND len(l[-1]) = 2 THEN array_to_string(l[-3:], '.') WHEN len(l) >= 2 THEN array_to_string(l[-2:], '.') ELSE host END AS domain FROM p""",
+)
+def registrable_domain(spark, sf_dir):
+    host = indicators.host_of(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", host.alias("host")).withColumn("domain", text.registrable(F.col("host")))
+
+
+@query(
+    "ignored_domain_filter",
+    f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT page_id, host FROM h
+WHERE NOT (host IN ('example.net', 'example.org') OR host LIKE '%.example.net' OR host LIKE '%.example.org')""",
+)
+def ignored_domain_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", indicators.host_of(F.col("url")).alias("host"))
+    return rows.where(~indicators.is_ignored(F.col("host"), F.lit(["example.net", "example.org"])))
+
+
+@query(
+    "refang_defang",
+    r"""WITH x AS (SELECT page_id, replace(replace(url, 'http', 'hxxp'), '.', '[.]') || ' hr[at]corp(.)io a dot b' AS dead, url FROM pages)
+SELECT page_id, dead, replace(replace(dead, 'hxxp', 'http'), '[.]', '.').replace('hr[at]corp(.)io a dot b', 'hr@corp.io a.b') AS live, replace(replace(replace(url, 'http://', 'hxxp://'), 'https://', 'hxxps://'), '.', '[.]') AS safe FROM x""",
+)
+def refang_defang(spark, sf_dir):
+    dead = F.concat(F.replace(F.replace("url", F.lit("http"), F.lit("hxxp")), F.lit("."), F.lit("[.]")), F.lit(" hr[at]corp(.)io a dot b"))
+    return table(spark, sf_dir, "pages").select("page_id", dead.alias("dead"), text.refang(dead).alias("live"), text.defang(F.col("url")).alias("safe"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query("normalise_text", f"SELECT doc_id, md5({_NORMAL}) AS normal FROM documents")
+def normalise_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalise(F.col("text"))).alias("normal"))
+
+@query("sentence_split")
+def sentence_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    return rows.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("digest"))
+
+
+@query("html_to_text")
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.html_to_text("html").alias("text"))
+
+
+@query("title_first_line", "SELECT conv_id, turn, left(string_split(text, chr(10))[1], 140) AS title FROM conversations")
+def title_first_line(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.first_line(F.col("text")).alias("title"))
+
+
+@query("text_windows")
+def text_windows(spark, sf_dir):
+    """Search windows of benchmark passages."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", text.normalise(F.col("text")).alias("p"))
+    return rows.select("item_id", pivots.windows(F.col("p"), ["the", "que", "der", "tion", "en", "on"]).alias("w")).select("item_id", F.explode("w").alias("window"))
+
+
+@query("item_ids", "SELECT doc_id, left(sha256(source || '|' || CAST(doc_id AS VARCHAR)), 32) AS id FROM documents")
+def item_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.item_id(F.col("source"), F.col("doc_id").cast("string")).alias("id"))
+
+
+# ---------------------------------------------------------------- scoring
+
+
+def _sql_terms(column: str, terms: dict[str, float]) -> str:
+    word = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
+    one = lambda t, w: f"CASE WHEN regexp_matches({column}, '(^|[^{word[1:-1]}]){t}" + (f"($|[^{word[1:-1]}])" if len(t) <= 3 else "") + f"') THEN {w} ELSE 0.0 END"
+    return "(" + " + ".join(one(t, float(w)) for t, w in terms.items()) + ")"
+
+
+_LOW = "CASE WHEN contains(text, '-') THEN lower(text) || ' ' || replace(lower(text), '-', ' ') ELSE lower(text) END"
+_RELEVANCE = f"""l AS (SELECT doc_id, source, {_LOW} AS low FROM documents),
+w AS (SELECT doc_id, source, CAST({_sql_terms("low", PROFILE["topic_terms"])} AS DOUBLE) AS t, CAST({_sql_terms("low", PROFILE["harm_terms"])} AS DOUBLE) AS h, CAST({_sql_terms("low", PROFILE["campaign_terms"])} AS DOUBLE) AS c FROM l),
+b AS (SELECT *, sqrt((1 - exp(-t / 2)) * (1 - exp(-h / 2))) AS s FROM w),
+r AS (SELECT doc_id, source, least(greatest(CASE WHEN h < 1.5 AND c = 0 THEN s * h / 1.5 ELSE s END, 0.9 * (1 - exp(-c / 1.5))), 1.0) AS score FROM b)"""
+
+
+def _scored(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "source", scoring.relevance(F.col("text"), F.lit(None).cast("string"), PROFILE).alias("relevance"))
+
+
+@query("relevance_score", f"WITH {_RELEVANCE} SELECT doc_id, round_even(score, 3) AS relevance FROM r")
+def relevance_score(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", "relevance")
+
+
+@query("gate_counts", f"WITH {_RELEVANCE} SELECT source, count(*) AS n FROM r WHERE round_even(score, 3) >= CASE source WHEN 'src0' THEN 0.4 ELSE 0.5 END GROUP BY 1")
+def gate_counts(spark, sf_dir):
+    from corrello.plans.cases import gate
+
+    rows = _scored(spark, sf_dir).withColumn("source_class", text.source_class(F.col("source")))
+    return gate(rows, 0.5, {"src0": 0.4}).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sql_sum(keywords: dict[str, float]) -> str:
+    return "(" + " + ".join(f"CASE WHEN contains(low, '{k}') THEN {float(w)} ELSE 0.0 END" for k, w in keywords.items()) + ")"
+
+
+_TYPES = PROFILE["lure_types"]
+
+
+@query(
+    "lure_classify",
+    f"""WITH l AS (SELECT doc_id, {_LOW} AS low FROM documents),
+s AS (SELECT doc_id, {", ".join(f"CAST({_sql_sum(v['keywords'])} AS DOUBLE) AS {k}" for k, v in _TYPES.items())} FROM l),
+u AS (SELECT doc_id, unnest([{", ".join(f"{{'i': {i}, 'type': '{k}', 'score': {k}}}" for i, k in enumerate(_TYPES))}]) AS x FROM s)
+SELECT doc_id, first(x.type ORDER BY x.score DESC, x.i) AS lure_type FROM u WHERE x.score >= 1.5 GROUP BY 1""",
+)
+def lure_classify(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", scoring.lure_type(F.col("text"), _TYPES).alias("lure_type"))
+    return rows.where("lure_type is not null")
+
+
+@query(
+    "stage_classify",
+    "WITH l AS (SELECT doc_id, lower(text) AS low FROM documents) SELECT doc_id, concat_ws(',', "
+    + ", ".join("CASE WHEN " + " OR ".join(f"contains(low, '{c}')" for c in cues) + f" THEN '{name}' END" for name, cues in PROFILE["stages"].items())
+    + ") AS stages FROM l",
+)
+def stage_classify(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(scoring.stages(F.col("text"), PROFILE["stages"]), ",").alias("stages"))
+
+
+@query("lure_phrases")
+def lure_phrases(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", scoring.lure_phrases(F.col("text"), PROFILE["lure_keywords"]).alias("p"))
+    return rows.select("conv_id", "turn", F.posexplode("p").alias("place", "phrase"))
+
+
+@query("brands")
+def brands(spark, sf_dir):
+    find = scoring.brands({"brands": ["The", "Licensed"], "brand_context_regex": "with|CC"})
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(find(F.col("text"))).alias("brand", "confidence"))
+    return rows
+
+
+# ---------------------------------------------------------------- aggregation and state
+
+
+@query("source_counts", "SELECT source, lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY 1, 2")
+def source_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query(
+    "stats",
+    "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'purchases', count(*) FILTER (event_type = 'purchase') FROM events UNION ALL SELECT 'users', count(DISTINCT user_id) FROM events",
+)
+def stats(spark, sf_dir):
+    docs, events = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
+    one = events.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.count_distinct("user_id").alias("users"))
+    rows = one.select(F.explode(F.create_map(F.lit("events"), "events", F.lit("purchases"), "purchases", F.lit("users"), "users")).alias("name", "n"))
+    return docs.agg(F.count(F.lit(1)).alias("n")).select(F.lit("documents").alias("name"), "n").union(rows)
+
+
+def _event_items(spark, sf_dir):
+    """Events as posts: the user is the author, the type the title."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("author"), F.col("event_type").alias("title"), F.lit("").alias("body"),
+        F.col("ts").cast("timestamp").alias("published_at"), F.timestamp_seconds("event_id").alias("fetched_at"),
+    )
+
+
+@query(
+    "dup_window_pairs",
+    "SELECT a.event_id AS id, b.event_id AS earlier FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.event_id < a.event_id "
+    "AND abs(CAST(floor(epoch(a.ts)) AS BIGINT) - CAST(floor(epoch(b.ts)) AS BIGINT)) <= 604800",
+)
+def dup_window_pairs(spark, sf_dir):
+    return dedup.repeat_pairs(_event_items(spark, sf_dir))
+
+
+@query("dup_fold")
+def dup_fold(spark, sf_dir):
+    return dedup.fold_repeats(_event_items(spark, sf_dir))
+
+
+@query("observable_case_counts", "SELECT l_partkey AS part, count(DISTINCT l_orderkey) AS n_cases FROM lineitem GROUP BY 1")
+def observable_case_counts(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    rows = graph.case_counts(li.select(F.col("l_orderkey").alias("case_id"), F.lit("part").alias("type"), F.col("l_partkey").alias("value")))
+    return rows.select(F.col("value").alias("part"), "n_cases")
+
+
+_EDGES = """e AS (SELECT DISTINCT l_orderkey AS case_id, CASE WHEN l_returnflag = 'R' THEN 'domain' WHEN l_returnflag = 'A' THEN 'ip' ELSE 'nameserver' END AS type, CAST(l_partkey AS VARCHAR) AS value FROM lineitem),
+k AS (SELECT type, value FROM e GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 25),
+x AS (SELECT a.case_id AS a, b.case_id AS b, type, value FROM e a JOIN e b USING (type, value) JOIN k USING (type, value) WHERE a.case_id < b.case_id)"""
+
+
+def _edges(spark, sf_dir):
+    flag = F.when(F.col("l_returnflag") == "R", "domain").when(F.col("l_returnflag") == "A", "ip").otherwise("nameserver")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), flag.alias("type"), F.col("l_partkey").cast("string").alias("value"))
+
+
+@query("shared_observable_pairs", f"WITH {_EDGES} SELECT a, b, count(*) AS n_shared FROM x GROUP BY 1, 2")
+def shared_observable_pairs(spark, sf_dir):
+    return graph.shared_observable_pairs(_edges(spark, sf_dir), 25).select("a", "b", F.size("evidence").cast("bigint").alias("n_shared"))
+
+
+@query("weak_edge_prune", f"WITH {_EDGES} SELECT a, b, count(*) AS n_shared FROM x GROUP BY 1, 2 HAVING bool_or(type = 'domain') OR count(DISTINCT type) >= 2")
+def weak_edge_prune(spark, sf_dir):
+    pairs = graph.shared_observable_pairs(_edges(spark, sf_dir), 25)
+    return pairs.where(graph.is_held(F.col("evidence"), F.lit(0.0))).select("a", "b", F.size("evidence").cast("bigint").alias("n_shared"))
+
+
+@query("hub_observables", "SELECT type, value FROM (SELECT DISTINCT l_orderkey, 'part' AS type, CAST(l_partkey AS VARCHAR) AS value FROM lineitem) GROUP BY 1, 2 HAVING count(*) > 35")
+def hub_observables(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return graph.hubs(li.select(F.col("l_orderkey").alias("case_id"), F.lit("part").alias("type"), F.col("l_partkey").cast("string").alias("value")), 35)
+
+
+@query(
+    "hard_link_components",
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS v FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45),
+k AS (SELECT v FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND 25), p AS (SELECT c, v FROM e WHERE v IN (SELECT v FROM k)),
+n AS (SELECT a.c AS a, b.c AS b FROM p a JOIN p b USING (v) WHERE a.c <> b.c),
+r AS (SELECT c AS node, c AS root FROM p UNION SELECT n.b, r.root FROM r JOIN n ON n.a = r.node)
+SELECT node AS case_id, min(root) AS component FROM r GROUP BY 1""",
+)
+def hard_link_components(spark, sf_dir):
+    """Classes by shared hard observables, over star links instead of pairs."""
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45")
+    links = graph.hard_links(li.select(F.col("l_orderkey").alias("case_id"), F.lit("domain").alias("type"), F.col("l_partkey").cast("string").alias("value")), 25)
+    return graph.clusters(links, 1)
+
+
+ORACLE_SQL.pop("hard_link_components")  # the recursive closure is too slow on whole tables; tests hold the classes against brute force
+
+_LADDER = """ev AS (SELECT l_orderkey AS component, l_suppkey AS grp, max(CASE WHEN p_size > 45 THEN 3 WHEN p_size > 25 THEN 2 ELSE 1 END) AS r FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+n AS (SELECT component, count(*) FILTER (r = 3) AS high, count(*) FILTER (r = 2) AS medium, count(*) FILTER (r = 1) AS low FROM ev GROUP BY 1)"""
+
+
+@query(
+    "confidence_ladder",
+    f"""WITH {_LADDER} SELECT component, high, medium, low, CASE WHEN high >= 2 OR (high >= 1 AND medium >= 2) THEN 'strongly_clustered' WHEN high >= 1 OR medium >= 2 THEN 'probable' ELSE 'possible' END AS confidence,
+high || ' independent high-specificity, ' || medium || ' medium, ' || low || ' low' AS basis FROM n""",
+)
+def confidence_ladder(spark, sf_dir):
+    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    level = F.when(F.col("p_size") > 45, "high").when(F.col("p_size") > 25, "medium").otherwise("low")
+    rows = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("component"), F.col("l_suppkey").alias("grp"), level.alias("specificity"))
+    return evidence.confidence(rows)
+
+
+@query(
+    "single_reporter",
+    "SELECT o_orderpriority || c_mktsegment || c_nationkey AS component, count(*) > 1 AND count(DISTINCT nullif(c_name, '')) = 1 AS single_reporter FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
+)
+def single_reporter(spark, sf_dir):
+    cust = table(spark, sf_dir, "customer").select(F.col("c_custkey"), F.col("c_name").alias("author"), "c_mktsegment", "c_nationkey")
+    rows = table(spark, sf_dir, "orders").join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    members = rows.select(F.concat("o_orderpriority", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("component"), F.col("o_orderkey").alias("case_id"), "author")
+    return evidence.single_reporters(members.select("component", "case_id"), members.select("case_id", "author"))
+
+
+@query(
+    "leads_topk",
+    """SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 9 END, o_totalprice DESC, o_orderkey LIMIT 20""",
+)
+def leads_topk(spark, sf_dir):
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").join(returned, "o_orderkey", "left_anti")
+    rank = F.when(F.col("o_orderpriority").startswith("1"), 0).when(F.col("o_orderpriority").startswith("2"), 1).otherwise(9)
+    return rows.orderBy(rank, F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+@query(
+    "enrich_queue",
+    """WITH last AS (SELECT o_custkey, max(o_orderdate) AS day FROM orders GROUP BY 1),
+d AS (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer LEFT JOIN last ON c_custkey = o_custkey WHERE day IS NULL OR day < TIMESTAMP '1997-06-01'),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS place FROM d)
+SELECT c_mktsegment, c_custkey, CAST(place AS INTEGER) AS place FROM r WHERE place <= 15""",
+)
+def enrich_queue(spark, sf_dir):
+    last = state.latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate"), ["o_custkey"], "o_orderdate")
+    fresh = last.where(F.col("o_orderdate") >= F.lit("1997-06-01").cast("timestamp")).select(F.col("o_custkey").alias("c_custkey"))
+    due = table(spark, sf_dir, "customer").join(fresh, "c_custkey", "left_anti")
+    place = F.row_number().over(W.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    return due.withColumn("place", place).where("place <= 15").select("c_mktsegment", "c_custkey", "place")
+
+
+@query("first_seen", "SELECT user_id, event_type, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT event_id) AS case_count FROM events GROUP BY 1, 2")
+def first_seen(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("type"), F.col("user_id").alias("value"), F.col("ts").alias("seen_at"), F.col("event_id").alias("case_id"))
+    return state.observable_table(rows).select(F.col("value").alias("user_id"), F.col("type").alias("event_type"), "first_seen", "last_seen", "case_count")
+
+
+@query(
+    "mode_per_group",
+    "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, first(event_type ORDER BY n DESC, event_type) AS mode FROM c GROUP BY 1",
+)
+def mode_per_group(spark, sf_dir):
+    rows = evidence.top_values(table(spark, sf_dir, "events"), ["user_id"], "event_type", 1, "m")
+    return rows.select("user_id", F.get("m", F.lit(0)).alias("mode"))
+
+
+@query(
+    "topk_counter",
+    """WITH c AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS p FROM c)
+SELECT event_type, user_id, CAST(p AS INTEGER) AS place FROM r WHERE p <= 6""",
+)
+def topk_counter(spark, sf_dir):
+    rows = evidence.top_values(table(spark, sf_dir, "events"), ["event_type"], "user_id", 6, "top")
+    return rows.select("event_type", F.posexplode("top").alias("p", "user_id")).select("event_type", "user_id", (F.col("p") + 1).alias("place"))
+
+
+@query("upsert_latest", "SELECT user_id, event_type, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
+def upsert_latest(spark, sf_dir):
+    return state.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts")
+
+
+@query("insert_if_absent", "SELECT min(event_id) AS event_id, user_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30') GROUP BY 2")
+def insert_if_absent(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    new, old = ev.where("event_type = 'click'"), ev.where("ts >= timestamp_ntz '2024-01-30 00:00:00'")
+    return state.insert_if_absent(new, old.select("user_id").distinct(), ["user_id"], ["event_id"]).select("event_id", "user_id")
+
+
+@query("display_ids", "SELECT doc_id, 'CASE-' || lpad(CAST(row_number() OVER (ORDER BY source, doc_id) AS VARCHAR), 6, '0') AS display_id FROM documents")
+def display_ids(spark, sf_dir):
+    return state.display_ids(table(spark, sf_dir, "documents").select("doc_id", "source"), "CASE", ["source", "doc_id"], 6).select("doc_id", "display_id")
+
+
+@query("source_runs", "SELECT event_type AS name, max(ts) AS last_run, arg_max(user_id, (ts, user_id)) AS last_status, sum(user_id) AS items_total FROM events GROUP BY 1")
+def source_runs(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("ts").alias("run_at"), F.col("user_id").alias("status"), F.col("user_id").alias("items"))
+    return state.source_runs(log)
+
+
+# ---------------------------------------------------------------- search, JSON, dates, joins
+
+_BM = r"""tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
+ln AS (SELECT doc_id, count(*) AS len FROM tk GROUP BY 1), st AS (SELECT count(*) AS n, avg(len) AS mean FROM ln),
+tf AS (SELECT doc_id, term, count(*) AS f FROM tk WHERE term IN ('that', 'licensed', 'nicht') GROUP BY 1, 2), df AS (SELECT term, count(*) AS d FROM tf GROUP BY 1)"""
+
+
+@query(
+    "bm25_search",
+    f"""WITH {_BM} SELECT doc_id, round(sum(greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+FROM tf JOIN df USING (term) JOIN ln USING (doc_id), st GROUP BY 1""",
+)
+def bm25_search(spark, sf_dir):
+    index = search.inverted_index(table(spark, sf_dir, "documents"), "doc_id", ["text"])
+    found = search.bm25(index, ["that", "licensed", "nicht"])
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("boolean_search")
+def boolean_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), "doc_id", ["text"], '"of the" AND (licensed OR that) NOT nicht')
+
+
+@query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "struct<k:bigint>")["k"].alias("k"))
+
+
+@query(
+    "age_flags",
+    "SELECT o_orderkey, CAST(floor((epoch(TIMESTAMP '1998-09-01') - epoch(o_orderdate)) / 86400) AS INTEGER) AS age_days, floor((epoch(TIMESTAMP '1998-09-01') - epoch(o_orderdate)) / 86400) <= 90 AS young FROM orders",
+)
+def age_flags(spark, sf_dir):
+    age = text.age_days(F.col("o_orderdate").cast("timestamp"), F.lit("1998-09-01").cast("timestamp"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", age.alias("age_days"), (age <= 90).alias("young"))
+
+
+@query("cross_lang_label_join", "SELECT lang, quality, toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2, 3")
+def cross_lang_label_join(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    return rows.groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("case_pipeline")
+def case_pipeline(spark, sf_dir):
+    """Documents through gate, repeat folding and extraction to edges."""
+    from corrello.plans.cases import build_cases
+
+    items = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), "source", F.col("doc_id").cast("string").alias("source_ref"), F.lit(None).cast("string").alias("url"),
+        F.col("source").alias("author"), F.lit("").alias("title"), F.col("text").alias("body"), F.timestamp_seconds("doc_id").alias("published_at"),
+        F.timestamp_seconds("doc_id").alias("fetched_at"), F.lit(0).alias("generation"),
+    )
+    return build_cases(items, PROFILE, 0.5).edges.select("case_id", "type", "value", "role", "confidence")

@@ -112,7 +112,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
     base_failed: fewer than 20 words, or more than 30 % of the words lie in
     8-word windows found twice.  llr of a text without n-grams is 0; such texts
-    fail the base rules.  Input columns of the same names are replaced.
+    fail the base rules.  Input columns of the same names are replaced;
+    names that begin with an underscore are kept for working columns.
     """
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
     docs = docs.drop(*added)
@@ -130,5 +131,7 @@ def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
-    return score_quality(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    """Pipeline stage: documents that the rules reject go.  Rows are carried
+    whole beside their text, so no column of theirs is taken for a count."""
+    carried = docs.select("doc_id", "text", F.struct(*docs.columns).alias("carried"))
+    return score_quality(carried, table(spark, sf_dir, "labels")).where("kept").select("carried.*")

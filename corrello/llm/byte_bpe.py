@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from corrello.store import keep, table
 
@@ -196,7 +197,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
 
 def decode_ids(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """Add ``decoded`` (binary), the concatenated bytes of each row's ids; null stays null."""
-    schema = rows.schema.add("decoded", "binary")
+    schema = StructType([*rows.schema.fields, StructField("decoded", BinaryType())])
     at, names = rows.columns.index(ids_col), [*rows.columns, "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corrello.store import keep, table
 
@@ -180,7 +181,7 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE, open_bins: int = OPEN_BINS,
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     tasks = max(1, -(-total // per_task))
     dealt = pieces.repartition(int(tasks), F.xxhash64("doc_id", "piece"))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return dealt.mapInArrow(run, schema)
 
 

@@ -50,8 +50,8 @@ def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 def page_record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
     """A response with the payload, or a revisit that refers to another page's."""
-    named = [] if page_id is None else [("WARC-Record-ID", f"<urn:page:{page_id}>")]
-    common = [*named, ("WARC-Target-URI", url or "urn:none"), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())]
+    named = ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>")
+    common = [named, ("WARC-Target-URI", url or "urn:none"), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())]
     common += [("X-Payload-Length", str(len(payload)))]
     head = (_HTTP + f"Content-Length: {len(payload)}\r\n\r\n").encode()
     if refers_to is None:
@@ -105,7 +105,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     part = f"{root}/_{name}.part"
                     out = store.open_output_stream(part)
                     files.append((name, 0, 0))
-                    out.write(member(record("warcinfo", [("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")))
+                    out.write(member(record("warcinfo", [("WARC-Record-ID", f"<urn:file:{name}>"), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")))
                 out.write(member(page_record(row["page_id"], row["url"], row["html"].encode("utf-8", "surrogatepass"), row["payload_digest"], row["refers_to"])))
                 files[-1] = (files[-1][0], files[-1][1] + 1, 0)
         close()
@@ -129,6 +129,8 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
         if not colon:
             return "malformed header"
         headers[name.strip().lower()] = value.strip()
+    if not {"warc-type", "warc-record-id", "warc-date"} <= headers.keys():
+        return "a mandatory header is missing"
     size = headers.get("content-length", "")
     if not size.isascii() or not size.isdigit():
         return "no length"

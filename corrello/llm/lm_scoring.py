@@ -160,6 +160,24 @@ def score_words(words: DataFrame, lattice: Lattice) -> DataFrame:
     return words.select("word", "c", "total").mapInArrow(run, "word string, c long, total long, logp double")
 
 
+def common_words(model: DataFrame, most: int | None = None) -> DataFrame:
+    """The most frequent words, at most ``most`` of at most COMMON_BYTES bytes.
+
+    A histogram over the logarithm of the frequency (a few hundred numbers) gives
+    the frequency from which on the words fit, so no task returns more than its
+    share.  Without a frequency that fits, there are none."""
+    most = COMMON if most is None else most
+    short = model.where(F.octet_length("word") <= COMMON_BYTES)
+    level = F.floor(F.log2(F.col("total").cast("double")) * 16).cast("int")
+    fits, cut = 0, None
+    for row in short.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        fits += row["count"]
+        if fits > most:
+            break
+        cut = row["level"]
+    return short.where(level >= cut) if cut is not None else short.limit(0)
+
+
 def score_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``
     for every row; null text is empty and has the end token only.  Rows may
@@ -172,7 +190,7 @@ def score_documents(docs: DataFrame, model_path: str) -> DataFrame:
     lattice = Lattice(*vocabulary(model_path), piece_counts(counts, model_path), int(ends))
     model = keep(score_words(counts, lattice), "lm-model")
     bottom = log10(tokens + distinct + 1)
-    top = model.where(F.octet_length("word") <= COMMON_BYTES).orderBy(F.desc("total"), "word").limit(COMMON).select("word", "c", "logp")
+    top = common_words(model).select("word", "c", "logp")
     common = spark.sparkContext.broadcast({r[0]: (r[1] > 0, log10(r[1] + 1) - bottom, r[2]) for r in top.collect()} | {END: (ends > 0, log10(ends + 1) - bottom, lattice.end)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrello.store import table
+from corrello.store import keep, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 16_384
@@ -134,4 +134,8 @@ def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go.  Rows are carried
     whole beside their text, so no column of theirs is taken for a count."""
     carried = docs.select("doc_id", "text", F.struct(*docs.columns).alias("carried"))
-    return score_quality(carried, table(spark, sf_dir, "labels")).where("kept").select("carried.*")
+    scored = score_quality(carried, table(spark, sf_dir, "labels"))
+    # The scored rows are written before they are filtered: a filter over them is
+    # pushed below the projections that share subexpressions, and each reference
+    # is then written out and computed again.
+    return keep(scored.drop("text"), "quality").where("kept").select("carried.*")

@@ -74,9 +74,11 @@ def build_cases(items: DataFrame, profile: dict, threshold: float = 0.5, trusted
     first = kept.join(repeats.select("id"), "id", "left_anti").withColumnRenamed("id", "case_id")
     first = first.withColumns({"lure_text": phrases, "lure_type": scoring.lure_type(F.col("text"), profile.get("lure_types") or {}), "stages": scoring.stages(F.col("text"), profile.get("stages") or {})})
     first = first.withColumn("brand_map", scoring.brands(profile)(F.col("text")))
-    own = host_of(F.col("url"))
+    first = first.withColumnRenamed("url", "item_url")  # url is an indicator's name as well
+    own = host_of(F.col("item_url"))
     parts = F.split(own, r"\.")
-    ignore = F.concat(F.lit(list(profile.get("ignore_domains") or [""])), F.coalesce(F.array(own, F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".")), F.array(F.lit(""))))
+    near = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".")
+    ignore = F.concat(F.array(*[F.lit(d.lower()) for d in profile.get("ignore_domains") or []]).cast("array<string>"), F.array_compact(F.array(F.nullif(own, F.lit("")), near)))
     title, body = strip(F.coalesce("title", F.lit(""))), strip(F.coalesce("body", F.lit("")))
     shown = F.when((title != "") & body.startswith(F.substring(title, 1, 50)), body).otherwise(F.col("text"))
     wide = first.withColumns({"_ioc": shown, "_ignore": ignore})
@@ -100,5 +102,5 @@ def build_cases(items: DataFrame, profile: dict, threshold: float = 0.5, trusted
     for t in ("telegram", "wallet_eth", "wallet_btc", "wallet_trx", "domain", "email", "github_user"):
         named = named.withColumn(t, F.array_sort(t))
     notes = repeats.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("note")), "\n").alias("notes"))
-    cases = wide.drop("brand_map", *TYPES).join(notes, "case_id", "left")
+    cases = wide.drop("brand_map", *TYPES).withColumnRenamed("item_url", "url").join(notes, "case_id", "left")
     return CaseTables(cases, repeats, edges, relationships, case_queries(named, profile))

@@ -8,8 +8,8 @@ the least of the chunks' maxima go through a logistic layer, which makes one
 probability of them.  (The least shows one chunk of little variety in a long text.)
 
 Training is on the driver from a bounded, documented sample: at most
-``PER_CLASS`` labelled documents of each class, the lowest id hashes, of at most
-``TRAIN_BYTES`` bytes each.  Scoring covers all rows and whole texts.
+``PER_CLASS`` labelled documents of each class, the lowest id hashes of those
+that have a text of at most ``TRAIN_BYTES`` bytes.  Scoring covers all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -179,19 +179,26 @@ def train(good: list[bytes], bad: list[bytes], seed: int = 7) -> Params:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[bytes], list[bytes]]:
-    """Good and bad texts of the bounded sample, never from fold 0 (crc32 mod 5)."""
+    """Good and bad texts of the bounded sample, never from fold 0 (crc32 mod 5).
+
+    Labels meet the documents before the sample is taken, so no place in it goes
+    to an id without a usable text.  A class that has only texts above
+    TRAIN_BYTES is learnt from their beginnings."""
     usable = labels.where("doc_id is not null and quality is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    size = docs.where("text is not null").select("doc_id", (F.octet_length("text") > TRAIN_BYTES).alias("_long"))
+    known = usable.select("doc_id", "quality").hint("merge").join(size, "doc_id").groupBy("doc_id", "quality").agg(F.min("_long").alias("_long"))
     picked: dict = {}
     for quality in (0, 1):
-        some = usable.where(F.col("quality") == quality).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        for row in some.collect():
-            picked.setdefault(row["doc_id"], quality)
+        some = known.where(F.col("quality") == quality).orderBy("_long", F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
+        for row in [r for r in some if not r["_long"]] or some:
+            picked.setdefault(row["doc_id"], (quality, row["_long"]))
     if not picked:
         return [], []
     spark = docs.sparkSession
-    own = spark.createDataFrame(list(picked.items()), f"_id {labels.schema['doc_id'].dataType.simpleString()}, _quality int")
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(own), F.col("doc_id") == F.col("_id"))
-    found = sorted((r["doc_id"], r["_quality"], r["text"].encode("utf-8", "surrogatepass")) for r in rows.select("doc_id", "_quality", "text").collect())
+    own = spark.createDataFrame([(i, *v) for i, v in picked.items()], f"_id {labels.schema['doc_id'].dataType.simpleString()}, _quality int, _long boolean")
+    rows = docs.select("doc_id", F.left("text", F.lit(TRAIN_BYTES)).alias("text"), (F.octet_length("text") <= TRAIN_BYTES).alias("_fits"))
+    rows = rows.join(F.broadcast(own), F.col("doc_id") == F.col("_id")).where("_fits or (_long and not _fits)")
+    found = sorted((r["doc_id"], r["_quality"], r["text"].encode("utf-8", "surrogatepass")[:TRAIN_BYTES]) for r in rows.select("doc_id", "_quality", "text").collect())
     found = [x for i, x in enumerate(found) if not i or found[i - 1][0] != x[0]]  # a repeated row counts once
     return [t for _, q, t in found if q == 1], [t for _, q, t in found if q == 0]
 
@@ -220,8 +227,11 @@ def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 def keep_likely_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted 0 go.  Rows keep their own columns and
-    their place: the score is added to each row, nothing is joined."""
-    params = train(*training_texts(docs, table(spark, sf_dir, "labels")))
+    their place: the score is added to each row, nothing is joined.
+
+    The network learns from the labelled rows of the whole documents table, as
+    the stage before has already removed nearly all bad texts from ``docs``."""
+    params = train(*training_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -151,3 +151,24 @@ def test_lm_scores(spark, docs, corpus, monkeypatch):
         assert (r["n_tokens"], r["n_known"], round(r["base_score"], 6)) in base[r["doc_id"]] and r["train_tokens"] == n
         assert math.isfinite(r["score"]) and r["score"] < 0
     assert lm_scoring.score_documents(docs([]), path).count() == 0
+
+
+def test_classifier_sample_is_taken_of_labelled_texts(spark, docs, corpus, labels):
+    ids = spark.createDataFrame([(i, 0, 0) for i in range(10_000, 10_400)], LABELS)  # labels without a document
+    good, bad = quality_classifier.training_texts(docs(corpus), labels.union(ids), per_class=20)
+    assert len(good) == len(bad) == 20
+    long = docs([(i, ("word " if i < 140 else "ZZ!! ") * 9_000) for i in range(100, 180)])
+    both = spark.createDataFrame([(i, int(i < 140), 0) for i in range(100, 180)], LABELS)
+    good, bad = quality_classifier.training_texts(long, both)
+    assert good and bad and {len(t) for t in good + bad} == {quality_classifier.TRAIN_BYTES}
+
+
+def test_classifier_stage_learns_from_the_whole_table(spark, docs, corpus, labels, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "STEPS", 120)
+    whole = docs(corpus)
+    whole.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    # no labelled bad text is left by the stage before; two bad ones without a label are
+    rest = whole.where("doc_id < 300").union(docs([(900 + i, "THIN!! EROU!! ONST!! " * 20) for i in range(2)]))
+    kept = {r["doc_id"] for r in quality_classifier.keep_likely_good(spark, rest, str(tmp_path)).collect()}
+    assert not kept & {900, 901} and len(kept & set(range(100, 220))) > 110

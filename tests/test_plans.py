@@ -1,6 +1,7 @@
 """Sources, the case pipeline, clustering, reports and the entry, end to end."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -123,3 +124,31 @@ def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     df = entry.entry(spark)
     assert df.columns == ["doc_id", "component"] and df.count() > 0
+
+
+def test_hard_link_components_take_all_hard_rows(spark, tmp_path):
+    from corrello.plans import catalogue
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(400), rng.randrange(260), rng.choice("RRAN"), float(rng.randint(1, 50))) for _ in range(700)]
+    rows += [(i, 999, "R", 50.0) for i in range(0, 400, 8)]  # in 50 orders: a hub links nothing
+    rows += [(1000, 998, "R", 1.0), (1001, 998, "R", 2.0), (1001, 998, "R", 3.0), (1002, 998, "A", 50.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    cases = {}
+    for order, part, flag, _ in rows:
+        if flag == "R":
+            cases.setdefault(part, set()).add(order)
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for linked in cases.values():
+        if 2 <= len(linked) <= 25:
+            for order in linked:
+                a, b = root(order), root(min(linked))
+                up[max(a, b)] = min(a, b)
+    got = {r["case_id"]: r["component"] for r in catalogue.QUERIES["hard_link_components"](spark, str(tmp_path)).collect()}
+    assert got == {x: root(x) for x in up} and got[1001] == 1000 and 1002 not in got

@@ -8,8 +8,9 @@ is the mean of log p_target - log p_raw over the document's n-grams, and a
 document is kept when it passes the base rules and the score is at least
 ``THRESHOLD``.  Thresholding is deterministic; nothing is sampled from the corpus.
 
-Counting never moves text: each task adds up its documents' buckets, so a
-shuffle carries at most BUCKETS rows per task whatever the source skew.
+The target is every document labelled good outside the evaluation fold: their ids
+follow the corpus, so texts are dealt by id to meet them.  After that each task
+adds up its documents' buckets, at most BUCKETS rows per task whatever the skew.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from corrello.store import keep, table
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 16_384
 THRESHOLD = -0.15
-#: Trusted documents are a bounded sample of rows labelled quality 1: the lowest id hashes.
-TARGET_DOCS = 8_000
 SMOOTH = 1.0
 WINDOW = 8
 
@@ -78,20 +77,20 @@ def with_buckets(docs: DataFrame, text_col: str = "text", name: str = "_buckets"
     return hashes.withColumn(name, F.concat(uni, bi)).drop("_tok")
 
 
-def trusted_ids(labels: DataFrame, limit: int = TARGET_DOCS) -> DataFrame:
-    """At most ``limit`` ids labelled quality 1, outside the evaluation fold (crc32 mod 5 = 0)."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All ids labelled quality 1, outside the evaluation fold (crc32 mod 5 = 0)."""
     good = labels.where("quality = 1 and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    return good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).distinct()
+    return good.select("doc_id").distinct()
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log p_target - log p_raw of each bucket; zeros if no trusted text exists.
 
-    ``trusted`` is bounded by TARGET_DOCS and may be broadcast; the result has
-    BUCKETS numbers, whatever the corpus size.
+    ``trusted`` follows the corpus and is never broadcast; only its narrow rows
+    are held for the join.  The result has BUCKETS numbers, whatever the corpus size.
     """
-    own = trusted.select(F.col("doc_id").alias("_trusted"))
-    marked = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("_trusted"), "left")
+    own = trusted.select(F.col("doc_id").alias("_trusted")).hint("shuffle_hash")
+    marked = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_trusted"), "left")
     rows = with_buckets(marked).select(F.explode("_buckets").alias("bucket"), F.col("_trusted").isNotNull().cast("long").alias("t"))
     counts = {r["bucket"]: (r["t"], r["n"]) for r in rows.groupBy("bucket").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     total_t, total_n = (sum(v[i] for v in counts.values()) for i in (0, 1))

@@ -172,3 +172,15 @@ def test_classifier_stage_learns_from_the_whole_table(spark, docs, corpus, label
     rest = whole.where("doc_id < 300").union(docs([(900 + i, "THIN!! EROU!! ONST!! " * 20) for i in range(2)]))
     kept = {r["doc_id"] for r in quality_classifier.keep_likely_good(spark, rest, str(tmp_path)).collect()}
     assert not kept & {900, 901} and len(kept & set(range(100, 220))) > 110
+
+
+def test_quality_rules_count_the_whole_target(spark):
+    labels = spark.range(20_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    trusted = quality_rules.trusted_ids(labels.union(labels))
+    assert trusted.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(20_000))
+    texts = spark.range(20_000).selectExpr("id as doc_id", "if(id % 2 = 0, 'even', 'odd') as text").union(spark.sql("select null, 'odd'"))
+    even, odd = (sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(k, 20_000, 2)) for k in (0, 1))
+    weights = quality_rules.bucket_weights(texts, trusted)
+    for word, t, n in (("even", even, 10_000), ("odd", odd, 10_001)):
+        want = math.log((t + 1) / (even + odd + quality_rules.BUCKETS)) - math.log((n + 1) / (20_001 + quality_rules.BUCKETS))
+        assert weights[hash_of(word) % quality_rules.BUCKETS] == pytest.approx(want, abs=1e-6)

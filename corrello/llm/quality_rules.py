@@ -33,19 +33,22 @@ def _pairs(items: Column, step: int, f) -> Column:
     return F.zip_with(F.slice(items, F.lit(1), n), F.slice(items, F.lit(1 + step), n), f)
 
 
-def with_base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long).
+def _base_counts(rows: DataFrame, text_col: str) -> DataFrame:
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) to
+    ``rows``, whose other columns are this module's own.
 
     Null text counts as empty.  Words are runs without ASCII white space;
     repeated 8-word windows are found by a 64-bit hash of the window.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0)
-    first = docs.withColumn("_words", F.array_remove(F.split(text, SPACE), "")).withColumn("_lines", lines)
+    first = rows.withColumn("_words", F.array_remove(F.split(text, SPACE), "")).withColumn("_lines", lines)
     mix = lambda a, b: F.xxhash64(a, b)
     hashed = first.withColumn("_w1", F.transform("_words", lambda w: F.xxhash64(w)))
     hashed = hashed.withColumn("_w2", _pairs(F.col("_w1"), 1, mix)).withColumn("_w4", _pairs(F.col("_w2"), 2, mix))
-    hashed = hashed.withColumn("_w8", _pairs(F.col("_w4"), 4, mix))
+    # No 8-word window is there twice unless a 4-word window is.
+    again = F.size(F.array_distinct("_w4")) < F.size("_w4")
+    hashed = hashed.withColumn("_w8", F.when(again, _pairs(F.col("_w4"), 4, mix)))
     twice = F.size(F.array_distinct("_w8")) < F.size("_w8")
     spots = hashed.withColumn("_at", F.when(twice, F.sort_array(F.transform("_w8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     spots = spots.withColumn("_same", _pairs(F.col("_at"), 1, lambda a, b: a["h"] == b["h"]))
@@ -53,28 +56,45 @@ def with_base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     spots = spots.withColumn("_pos", F.sort_array(F.transform(both, lambda x: x["i"])))
     steps = _pairs(F.col("_pos"), 1, lambda a, b: F.least(b - a, F.lit(WINDOW)))
     covered = F.aggregate(steps, F.lit(WINDOW), lambda s, x: s + x)
-    counted = spots.select(
-        *docs.columns,
+    return spots.select(
+        *rows.columns,
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
-    return counted
 
 
-def _ngrams(text: Column) -> Column:
-    """Bucket numbers of the unigrams and bigrams of a text."""
+def _tokens(text: Column) -> Column:
+    """Lower-cased runs of word characters and runs of other visible ones."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\w+|[^\w\s]+)"), 1)
 
 
-def with_buckets(docs: DataFrame, text_col: str = "text", name: str = "_buckets") -> DataFrame:
-    hashes = docs.withColumn("_tok", F.transform(_ngrams(F.col(text_col)), lambda t: F.xxhash64(t)))
-    small = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    uni = F.transform("_tok", small)
-    bi = _pairs(F.col("_tok"), 1, lambda a, b: small(F.xxhash64(a, b)))
-    return hashes.withColumn(name, F.concat(uni, bi)).drop("_tok")
+def _bucket(*of: Column) -> Column:
+    return F.pmod(F.xxhash64(*of), F.lit(BUCKETS)).cast("int")
+
+
+def _with_buckets(rows: DataFrame, text_col: str) -> DataFrame:
+    """Add _buckets: the bucket numbers of a text's unigrams, then of its bigrams."""
+    hashes = rows.withColumn("_tok", F.transform(_tokens(F.col(text_col)), lambda t: F.xxhash64(t)))
+    uni = F.transform("_tok", lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
+    return hashes.withColumn("_buckets", F.concat(uni, _pairs(F.col("_tok"), 1, lambda a, b: _bucket(a, b)))).drop("_tok")
+
+
+def _ngram_rows(rows: DataFrame, text_col: str, *others: Column) -> DataFrame:
+    """One row per n-gram: its bucket, and ``others``.
+
+    A generator evaluates its argument once per mention, so tokens are a column
+    of their own first; every token then leaves beside its successor, and both
+    hashes are computed in generated code."""
+    tok = rows.select(*others, _tokens(F.col(text_col)).alias("_tok"))
+    after = F.slice("_tok", F.lit(2), F.greatest(F.size("_tok") - 1, F.lit(0)))
+    names = tok.columns[:-1]
+    each = tok.select(*names, F.explode(F.arrays_zip(F.col("_tok").alias("a"), after.alias("b"))).alias("_z"))
+    bigram = F.when(F.col("_z.b").isNotNull(), _bucket(F.xxhash64("_z.a"), F.xxhash64("_z.b")))
+    both = each.select(*names, F.explode(F.array(_bucket(F.col("_z.a")), bigram)).alias("bucket"))
+    return both.where("bucket is not null")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -89,9 +109,12 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
     ``trusted`` follows the corpus and is never broadcast; only its narrow rows
     are held for the join.  The result has BUCKETS numbers, whatever the corpus size.
     """
-    own = trusted.select(F.col("doc_id").alias("_trusted")).hint("shuffle_hash")
-    marked = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_trusted"), "left")
-    rows = with_buckets(marked).select(F.explode("_buckets").alias("bucket"), F.col("_trusted").isNotNull().cast("long").alias("t"))
+    own = trusted.select(F.col("doc_id").alias("_trusted"), F.lit(0).alias("_at")).hint("shuffle_hash")
+    # Rows without an id meet nothing; a second key spreads them over the tasks.
+    spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("_spread", spread)
+    marked = texts.join(own, (F.col("doc_id") == F.col("_trusted")) & (F.col("_spread") == F.col("_at")), "left")
+    rows = _ngram_rows(marked, "text", F.col("_trusted").isNotNull().cast("long").alias("t"))
     counts = {r["bucket"]: (r["t"], r["n"]) for r in rows.groupBy("bucket").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     total_t, total_n = (sum(v[i] for v in counts.values()) for i in (0, 1))
     if not total_t:
@@ -105,23 +128,27 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
     return [weight(b) for b in range(BUCKETS)]
 
 
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` plus n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, llr, base_failed and kept, one row per input row.
 
     base_failed: fewer than 20 words, or more than 30 % of the words lie in
     8-word windows found twice.  llr of a text without n-grams is 0; such texts
-    fail the base rules.  Input columns of the same names are replaced;
-    names that begin with an underscore are kept for working columns.
+    fail the base rules.  Input columns of the added names are replaced; all
+    others come back as they were, whatever their names, as rows travel in a struct.
     """
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
-    docs = docs.drop(*added)
     weights = F.split(F.lit(",".join(map(str, bucket_weights(docs, trusted_ids(labels))))), ",").cast("array<double>")
-    rows = with_buckets(with_base_counts(docs))
+    others = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in others)).alias("_row"), docs["text"].cast("string").alias("_text"))
+    rows = _with_buckets(_base_counts(rows, "_text"), "_text")
     summed = F.aggregate("_buckets", F.lit(0.0), lambda s, b: s + F.get(weights, b))
     llr = F.when(F.size("_buckets") > 0, summed / F.size("_buckets")).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return rows.withColumn("llr", llr).drop("_buckets").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
+    scored = rows.withColumn("llr", llr).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
+    return scored.select("_row.*", *ADDED)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

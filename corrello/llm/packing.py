@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,20 +30,27 @@ SIZE, OPEN_BINS, PER_TASK = 2048, 1024, 64_000_000
 CACHE = 500_000
 #: New words encoded at a time, and the mark between them.
 BATCH, MARK = 2_000, "\x02"
-#: White space to the tokenizer's pattern; str.split also splits at U+001C-1F.
-_SPLIT = re.compile("[\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-_ODD = re.compile("[\\x1c-\\x1f]")
+#: Bytes of text that are split into words at a time; longer texts go in parts.
+PART = 8 << 20
+#: Marks that only ever stand in a run of their own after a word.
+TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+_BLANK = re.compile(rb"[\t-\r ]")
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Token ids of texts, by white-space separated words that are remembered.
+    """Token ids of texts, by words between ASCII white space that are remembered.
 
     The tokenizer drops white space, and no token, normalisation or match spans
-    it, so words may be encoded apart.  New words go to the tokenizer joined by a
-    mark that is one token of its own; words that hold the mark go one by one.
-    When the young generation of remembered words is full, it becomes the old one;
-    words found there are young again.
+    it, so words may be encoded apart; its added tokens hold none and are found
+    inside words.  A block of texts becomes one column of words and a dictionary
+    of the different ones; only those are looked up, and only words not met
+    before go to the tokenizer.  A word of letters with marks behind it is put
+    together of the two.  Units of one run (letters, or marks) go to the
+    tokenizer joined by spaces, as each ends in the one token that ends a run;
+    others are joined by a mark that is a token of its own, and words that hold
+    the mark go one by one.  When the young generation of remembered words is
+    full, it becomes the old one; words found there are young again.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,48 +58,123 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-        self.young: dict[str, bytes] = {}
+        mark = self._ids(MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # tokens that end a run
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.last[i] = token.endswith("</w>")
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _put(self, part: list[str], ids: np.ndarray, ends: np.ndarray, skip: int) -> None:
+        raw, start = ids.tobytes(), 0
+        for w, end in zip(part, ends.tolist(), strict=True):
+            self.young[w] = raw[4 * start : 4 * end]
+            start = end + skip
+
+    def _encode(self, words: list[str], single: bool) -> None:
+        """Remember different ``words``; single: each should be one run."""
+        for at in range(0, len(words), BATCH):
+            part = words[at : at + BATCH]
+            if single:
+                ids = self._ids(" ".join(part))
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(part) and ends[-1] == len(ids):  # every word has one such token at least
+                    self._put(part, ids, ends, 0)
+                    continue
+            ids = self._ids(f" {MARK} ".join(part))
+            self._put(part, ids, np.append(np.flatnonzero(ids == self.mark), len(ids)), 1)
+
     def _learn(self, words: list[str]) -> None:
-        young = self.young
-        if len(young) > CACHE:
-            self.old, self.young = young, {}
-            young = self.young
-        new = []
-        for w in {w for w in words if w not in young}:
-            known = self.old.get(w)
-            if known is None:
-                new.append(w)
-            else:
+        """Make every one of the different ``words``, none of which is young, young."""
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {"": b""}
+        young, old = self.young, self.old
+        single: dict[str, None] = {}
+        joined: list[str] = []
+        made: list[tuple[str, str, str]] = []
+        for w in words:
+            known = old.get(w)
+            if known is not None:
                 young[w] = known
-        alone = [w for w in new if self.mark is None or MARK in w]
-        new = [w for w in new if w not in alone] if alone else new
-        for w in alone:
-            young[w] = self._ids(w).tobytes()
-        for at in range(0, len(new), BATCH):
-            part = new[at : at + BATCH]
-            ids = self._ids(f" {MARK} ".join(part))
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                young[w] = raw[4 * start : 4 * end]
-                start = end + 1
+                continue
+            core = w.rstrip(TAIL)
+            if not core:
+                single[w] = None
+            elif core.isalpha():
+                if len(core) == len(w):
+                    single[w] = None
+                elif core[-1] < "\u0250" and core[-1] != "\u0130":  # letters that stay letters when normalised
+                    tail = w[len(core) :]
+                    made.append((w, core, tail))
+                    if core not in young:
+                        single[core] = None
+                    if tail not in young:
+                        single[tail] = None
+                else:
+                    joined.append(w)
+            elif self.mark is None or MARK in w:
+                young[w] = self._ids(w).tobytes()
+            else:
+                joined.append(w)
+        self._encode(list(single), True)
+        self._encode(joined, False)
+        for w, core, tail in made:
+            young[w] = young[core] + young[tail]
+
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts without nulls, and where each text's begin
+        (one more place than texts)."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.to_pylist()
+        raw = list(map(self.young.get, different))
+        if None in raw:
+            self._learn([w for w, r in zip(different, raw, strict=True) if r is None])
+            young = self.young
+            raw = [r if r is not None else young[w] for w, r in zip(different, raw, strict=True)]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        pool = np.frombuffer(b"".join(raw), "<u4")
+        which = words.indices.to_numpy(zero_copy_only=False)
+        count = size[which]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        place = np.repeat(((np.cumsum(size) - size)[which] - ends[:-1]).astype(np.int32), count)
+        place += np.arange(ends[-1], dtype=np.int32)
+        offsets = split.offsets.to_numpy(zero_copy_only=False)
+        return pool[place], ends[offsets - offsets[0]]
+
+    def long(self, text: bytes) -> bytes:
+        """Ids of one text, a part of about PART bytes after the other."""
+        out, at = [], 0
+        while at < len(text):
+            blank = _BLANK.search(text, at + PART)
+            end = blank.start() if blank else len(text)
+            out.append(self.block(pa.array([text[at:end]], pa.binary()).cast(pa.string()))[0].tobytes())
+            at = end
+        return b"".join(out)
+
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text in turn; null is empty."""
+        texts = pc.fill_null(texts, "")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(sizes):
+            if sizes[at] > PART:
+                yield self.long(texts[at].as_buffer().to_pybytes())
+                at += 1
+                continue
+            end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:], dtype=np.int64), PART, side="right")))
+            ids, starts = self.block(texts.slice(at, end - at))
+            raw, cuts = ids.tobytes(), (4 * starts).tolist()
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                yield raw[s:e]
+            at = end
 
     def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.split() if not _ODD.search(text) else [w for w in _SPLIT.split(text) if w]
-        try:
-            return b"".join([self.young[w] for w in words])
-        except KeyError:
-            self._learn(words)
-            return b"".join([self.young[w] for w in words])
+        return next(self.column(pa.array([text], pa.string())))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -108,8 +191,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, with_id
         encode = encoder(tokenizer_path)
         for batch in batches:
             rows, start, length, crc, ids = [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                raw = encode(text.as_py() or "") + b"\0\0\0\0"
+            for i, raw in enumerate(encode.column(batch.column(1))):
+                raw += b"\0\0\0\0"
                 for at in range(0, len(raw), 4 * size):
                     part = raw[at : at + 4 * size]
                     rows.append(i)
@@ -180,7 +263,10 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE, open_bins: int = OPEN_BINS,
 
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     tasks = max(1, -(-total // per_task))
-    dealt = pieces.repartition(int(tasks), F.xxhash64("doc_id", "piece"))
+    # Dealt by the row's number, not by its id: an id that many rows share, or
+    # none at all, still goes to every task.
+    numbered = pieces.withColumn("_nth", F.monotonically_increasing_id())
+    dealt = numbered.repartition(int(tasks), F.xxhash64("_nth")).select(*columns)
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return dealt.mapInArrow(run, schema)
 

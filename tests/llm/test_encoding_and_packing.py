@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -60,6 +61,44 @@ def test_word_encoder_equals_tokenizer():
         assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def fresh_ids(text):
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    if not hasattr(fresh_ids, "own"):
+        fresh_ids.own = Tokenizer.from_file(p.path("word_bpe_49k.json"))
+    return fresh_ids.own.encode(text, add_special_tokens=False).ids
+
+
+def test_word_encoder_equals_an_untouched_tokenizer(monkeypatch):
+    import public_tokenizers as p
+
+    encode, rng = packing.WordEncoder(p.path("word_bpe_49k.json")), random.Random(5)
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    odd = [*ODD, end, start, end, start, "=\u0338", "İ", "ｆ", "\u0958", "don't", "word", "Word!!", "a,", "..", "<|", "\u00a0", "\u200b", "\x00"]
+    texts = [end, f"a {end} b", f"a{end}b", f"{start}{end}", f"x{start} y", f"{end}!!", f"don't{end}'s", "İ!! İ İ, ab!! ab, ab", "क़!! क़,", "1st, 2nd.", "", " \n "]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    for cache, part in ((packing.CACHE, packing.PART), (20, 7)):
+        monkeypatch.setattr(packing, "CACHE", cache)
+        monkeypatch.setattr(packing, "PART", part)
+        for text, raw in zip(texts, encode.column(pa.array(texts)), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == fresh_ids(text), text
+    assert list(encode.column(pa.array([None, "a"], pa.string())))[0] == b"" and list(encode.column(pa.array([], pa.string()))) == []
+
+
+def test_pieces_of_texts_with_added_tokens(spark, docs):
+    import public_tokenizers as p
+
+    texts = ["<|endoftext|>", "so <|startoftext|>it<|endoftext|> goes", None, "<|endoftext|> " * 3000]
+    rows = packing.token_pieces(docs([(None, t) for t in texts]), p.path("word_bpe_49k.json"), with_ids=True).collect()
+    got = sorted((r["piece"], r["length"], list(r["ids"])) for r in rows)
+    want = []
+    for t in texts:
+        ids = [*fresh_ids(t or ""), 0]
+        want += [(k, len(ids[k * 2048 : k * 2048 + 2048]), ids[k * 2048 : k * 2048 + 2048]) for k in range(-(-len(ids) // 2048))]
+    assert got == sorted(want)
+
+
 def test_packing(spark, docs):
     import public_tokenizers as p
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corrello.llm.byte_bpe import op4_byte_level_bpe
-from corrello.llm.chat_format import op5_chat_formatting
+from corrello.llm.chat_format import OP5_SQL, op5_chat_formatting
 from corrello.llm.html_extract import op8_html_extraction
 from corrello.llm.lm_scoring import op9_lm_scoring
 from corrello.llm.packing import op10_best_fit_packing
@@ -28,5 +28,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": OP1_SQL,
+    "op5_chat_formatting": OP5_SQL,
     "op7_warc_round_trip": OP7_SQL,
 }

@@ -113,3 +113,58 @@ def test_schema_subset():
     schema = {"type": "object", "properties": {"n": {"type": "integer"}, "k": {"enum": ["a", "b"]}, "l": {"type": "array", "items": {"type": "number"}}}}
     assert chat_format.violations({"n": 2, "k": "a", "l": [1, 2.5]}, schema) == []
     assert chat_format.violations({"n": True, "k": "c", "l": [1, "x"]}, schema) == ["$.k: not one of the listed values", "$.l[1]: not number", "$.n: not integer"]
+
+
+def test_texts_without_a_canonical_line_are_content(spark):
+    texts = ['{"tool_calls":[{"id":"a","name":"n","arguments":{"x":1e999}}]}', '{"tool_calls":[{"id":"\\ud800","name":"n","arguments":{}}]}', '{"tool_call_id":"\\udfff"}', '{"a":' * 100_000, '{"x":NaN}', '{"x":1' + "0" * 5000 + "}", "{", "[1]"]
+    got = chat_format.format_chats(spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], CHAT), {"n": {"properties": {"x": {"type": "integer"}}}}).collect()
+    assert {r["turn"]: json.loads(r["message"]) for r in got} == {i: {"content": t, "role": "user"} for i, t in enumerate(texts)}
+    assert all(r["errors"] == [] and r["n_calls"] == 0 for r in got)
+    fine = chat_format.read_message("a", '{"tool_calls":[{"id":"a","name":"n","arguments":{"x":1e300,"y":"\\ud83d\\ude00"}}]}', {})
+    assert fine["calls"][0]["errors"] == [] and "\U0001f600" in fine["message"]
+
+
+def slow_places(links):
+    """Longest-waiting order by repeated passes over all links."""
+    turn = {}
+    for s, st, d, dt in links:
+        turn[s], turn[d] = st, dt
+    targets = {d for _, _, d, _ in links}
+    place = {s: (turn[s], 0) for s in turn if s not in targets}
+    for _ in range(len(links) + 1):
+        for d in targets - place.keys():
+            own = [s for s, _, x, _ in links if x == d]
+            if all(s in place for s in own):
+                at, depth = max(place[s] for s in own)
+                place[d] = (at, depth + 1) if at >= turn[d] else (turn[d], 0)
+    return sorted((d, *place.get(d, (turn[d], 0)), d not in place) for d in targets)
+
+
+def test_places_by_task_and_in_rounds(spark, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    rows, want = [], []
+    for conv in range(12):
+        n = rng.randint(2, 14)
+        turn = {f"{conv}:{i}": rng.randint(0, 9) for i in range(n)}
+        names = list(turn)
+        links = {(a, turn[a], b, turn[b]) for a, b in (rng.sample(range(n), 2) for _ in range(rng.randint(1, 16))) if (a < b or rng.random() < 0.1) for a, b in [(names[a], names[b])]}
+        rows += [(conv, *x) for x in links]
+        want += slow_places(links) if links else []
+    frame = spark.createDataFrame(rows, "conv_id long, src string, src_turn long, dst string, dst_turn long")
+    for limit in (50_000, 6, 0):
+        monkeypatch.setattr(chat_format, "LINKS", limit)
+        assert sorted(map(tuple, chat_format._places(frame).collect())) == sorted(want)
+    assert chat_format._places(frame.limit(0)).count() == 0
+
+
+def test_turns_as_calls(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "r"), (1, 3, "user", "x" * 1001), (1, 6, "user", None), (1, 9, "assistant", "late"), (2, 0, "user", ""), (2, 0, "user", ""), (None, 1, "user", "t"), (3, None, "assistant", "t"), (3, 1, None, None)]
+    got = chat_format.format_chats(chat_format.turns_as_calls(spark.createDataFrame(rows, CHAT)), chat_format.REPLY).collect()
+    by = {(r["conv_id"], r["turn"]): r for r in got}
+    assert len(got) == len(rows) and by[1, 2]["call_turn"] == 1 and by[1, 1]["n_calls"] == 1 and by[1, 1]["errors"] == []
+    assert by[1, 3]["errors"] == ["$.prompt: longer than 1000", "no result"] and by[1, 6]["errors"] == ["$.prompt: missing", "depends on an unknown call", "no result"]
+    assert by[1, 9]["errors"] == ["result without a call"] and by[2, 0]["errors"] == ["$.prompt: shorter than 1", "no result"]
+    assert by[None, 1]["message"] == '{"content":"t","role":"user"}' and by[3, 1]["message"] == '{"content":null,"role":null}'
+    assert json.loads(by[1, 3]["message"])["tool_calls"][0]["depends_on"] == ["1/1"]

@@ -9,12 +9,15 @@ is not read.
 The reader takes whole files (bounded by ROLL) from Spark's binaryFile source
 and checks each record: gzip CRC, version line, header, length, block digest.
 After a failed check it searches for the next valid member or version line,
-goes on from there, and logs the bytes between as a quarantined gap.
+goes on from there, and logs the bytes between as a quarantined gap.  Digests are
+compared in any of their usual spellings; one of an algorithm that hashlib does
+not have proves nothing and is left unchecked.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
 import re
 import zlib
@@ -30,6 +33,10 @@ from corrello.store import fresh_path, keep, table
 ROLL = 8 << 20
 #: Payloads below this size are always full responses.
 REVISIT_BYTES = 1000
+#: Tasks that the rows of one payload are dealt to.
+SALT = 32
+#: Bytes given to the decompressor at a time.
+SLICE = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -41,6 +48,34 @@ def _sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _digest(told: str) -> tuple[str, bytes] | None:
+    """Algorithm and raw digest of ``algorithm:digest``, in base 16, 32 or 64 and
+    any case; None if it cannot be read."""
+    kind, _, value = told.strip().partition(":")
+    kind = kind.strip().lower().replace("-", "").replace("_", "")
+    value = value.strip()
+    if kind not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None
+    size = hashlib.new(kind).digest_size
+    if len(value) == 2 * size and re.fullmatch(r"[0-9a-fA-F]+", value):
+        return kind, bytes.fromhex(value)
+    try:
+        bare = value.rstrip("=")
+        if len(bare) == -(-8 * size // 5):
+            return kind, base64.b32decode(bare.upper() + "=" * (-len(bare) % 8))
+        if len(bare) == -(-8 * size // 6):
+            return kind, base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        pass
+    return None
+
+
+def _contradicts(told: str | None, data: bytes) -> bool:
+    """Whether a declared digest can be read and is not that of ``data``."""
+    known = _digest(told) if told else None
+    return known is not None and hashlib.new(known[0], data).digest() != known[1]
+
+
 def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One WARC/1.1 record with its length and block digest."""
     lines = [f"WARC-Type: {kind}", *(f"{k}: {re.sub(r'[\x00-\x20]+', '%20', v)}" for k, v in headers)]
@@ -66,13 +101,22 @@ def member(data: bytes) -> bytes:
 
 def with_roles(pages: DataFrame) -> DataFrame:
     """Add payload_digest and refers_to: of equal payloads of at least
-    REVISIT_BYTES the row with the largest page_id answers, the others revisit it."""
+    REVISIT_BYTES the row with the largest page_id answers, the others revisit it.
+
+    Groups are counted on digests alone.  Payloads then meet only the digests of
+    groups above one, ``SALT`` narrow copies of each, so the rows of a hot payload
+    go to as many tasks; small payloads, whose digests are the commonest, meet
+    nothing and are spread by their address."""
     text = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), text.alias("html")).withColumn("payload_digest", F.sha1(F.encode("html", "utf-8")))
-    again = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("_top"), F.count(F.lit(1)).alias("_n"))
-    again = again.where("_n > 1").select("payload_digest", "_top")
+    large = F.octet_length("html") >= REVISIT_BYTES
+    again = rows.where(large).groupBy("payload_digest").agg(F.max("page_id").alias("_top"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = again.select(F.col("payload_digest").alias("_of"), "_top", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_at"))
+    place = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")
+    salted = rows.withColumn("_key", F.when(large, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))).withColumn("_salt", place)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("_top")), F.col("_top"))
-    return rows.join(again, "payload_digest", "left").withColumn("refers_to", refers).drop("_top")
+    met = salted.join(again, (F.col("_key") == F.col("_of")) & (F.col("_salt") == F.col("_at")), "left")
+    return met.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -123,12 +167,17 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     end = data.find(b"\r\n\r\n", version.end() - 2)
     if end < 0:
         return "header without end"
-    headers = {}
+    headers: dict[str, str] = {}
+    name = None
     for line in data[version.end() : end].decode("utf-8", "replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and name is not None:  # the value goes on
+            headers[name] = f"{headers[name]} {line.strip()}".strip()
+            continue
         name, colon, value = line.partition(":")
         if not colon:
             return "malformed header"
-        headers[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        headers[name] = value.strip()
     if not {"warc-type", "warc-record-id", "warc-date"} <= headers.keys():
         return "a mandatory header is missing"
     size = headers.get("content-length", "")
@@ -138,18 +187,22 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     if data[stop : stop + 4] != b"\r\n\r\n":
         return "length does not end at a record's end"
     block = data[start:stop]
-    if "warc-block-digest" in headers and headers["warc-block-digest"] != _sha1(block):
+    if _contradicts(headers.get("warc-block-digest"), block):
         return "block digest differs"
     return headers, block, stop + 4
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    squeeze = zlib.decompressobj(31)
+    """The member at ``at`` and its end.  The input goes in slices, so what is
+    read beyond the member's end is bounded however many members follow."""
+    squeeze, out, view = zlib.decompressobj(31), [], memoryview(data)
     try:
-        out = squeeze.decompress(memoryview(data)[at:])
+        while not squeeze.eof and at < len(data):
+            out.append(squeeze.decompress(view[at : at + SLICE]))
+            at += SLICE
     except zlib.error as e:
         return f"gzip: {e}"
-    return (out, len(data) - len(squeeze.unused_data)) if squeeze.eof else "gzip: member cut short"
+    return (b"".join(out), min(at, len(data)) - len(squeeze.unused_data)) if squeeze.eof else "gzip: member cut short"
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes] | tuple[int, int, str]]:
@@ -208,8 +261,9 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
     """One row per sound record and per quarantined gap (``gap`` holds the reason).
 
     payload_digest is bare lower-case hex; for records that hold their payload it
-    and payload_bytes are computed from what was read.  A payload that does not
-    match its declared digest makes a gap."""
+    (SHA-1) and payload_bytes are computed from what was read, for revisits they are
+    what the record declares, or null.  A payload that does not match its
+    declared digest makes a gap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file", "start", "end", "gap", "record_type", "record_id", "refers_to", "url", "payload_bytes", "payload_digest"] + ["payload"] * with_payload
@@ -224,17 +278,18 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
                     headers, block = got[2:]
                     kind = headers.get("warc-type")
                     row |= {"record_type": kind, "record_id": headers.get("warc-record-id"), "refers_to": headers.get("warc-refers-to"), "url": headers.get("warc-target-uri")}
-                    told = headers.get("warc-payload-digest", "")
+                    told = headers.get("warc-payload-digest")
                     if kind == "response":
                         payload = block.partition(b"\r\n\r\n")[2]
-                        if told and told != _sha1(payload):
+                        if _contradicts(told, payload):
                             rows.append(dict.fromkeys(names) | {"file": path.as_py(), "start": got[0], "end": got[1], "gap": "payload digest differs"})
                             continue
                         row |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest()}
                         if with_payload:
                             row["payload"] = payload
                     elif kind == "revisit":
-                        row |= {"payload_bytes": int(headers.get("x-payload-length", -1)), "payload_digest": base64.b32decode(told.removeprefix("sha1:")).hex() if told else None}
+                        size, known = headers.get("x-payload-length", ""), _digest(told) if told else None
+                        row |= {"payload_bytes": int(size) if size.isascii() and size.isdigit() and len(size) < 19 else None, "payload_digest": known[1].hex() if known else None}
                     rows.append(row)
                 schema = pa.schema([(n, {"start": pa.int64(), "end": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}.get(n, pa.string())) for n in names])
                 yield pa.RecordBatch.from_pylist(rows, schema)
@@ -259,9 +314,13 @@ def round_trip(pages: DataFrame) -> DataFrame:
         return spark.createDataFrame([], f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
     of = lambda c: F.regexp_extract(F.col(c), r"^<urn:page:(.*)>$", 1)
     ident = lambda c: F.when(of(c) != "", of(c)).cast(kind)
-    read = read_archives(spark, folder).where(F.col("record_type").isin("response", "revisit"))
-    pages_only = read.withColumn("file", F.substring_index("file", "/", -1)).join(manifest.select("file"), "file", "left_semi")
-    return pages_only.select(ident("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", ident("refers_to").alias("refers_to"))
+    read = read_archives(spark, folder).withColumn("file", F.substring_index("file", "/", -1))
+    read = keep(read.join(manifest.select("file"), "file", "left_semi"), "warc-read")
+    rows = read.where(F.col("record_type").isin("response", "revisit") & F.col("gap").isNull())
+    lost = manifest.join(rows.groupBy("file").agg(F.count(F.lit(1)).alias("_read")), "file", "left").where(F.coalesce("_read", F.lit(0)) != F.col("records"))
+    if not lost.isEmpty():
+        raise RuntimeError(f"records of {lost.count()} archives below {folder} did not come back")
+    return rows.select(ident("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", ident("refers_to").alias("refers_to"))
 
 
 def op7_warc_round_trip(spark, sf_dir: str) -> DataFrame:

@@ -44,6 +44,53 @@ def test_salvage_covers_every_byte():
                 assert {f"<urn:page:{i}>" for i in alive if i not in near} <= ids
 
 
+def foreign(kind, ident, block, *lines):
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x:{ident}>", "WARC-Date: 2020-01-01T00:00:00Z", *lines, f"Content-Length: {len(block)}"]
+    return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    import base64
+
+    block = b"HTTP/1.1 200 OK\r\n\r\n<p>body"
+    sha = lambda n, d=block: hashlib.new(n, d)
+    b32 = base64.b32encode(sha("sha1").digest()).decode()
+    told = [f"sha256:{sha('sha256').hexdigest()}", f"SHA-1:{sha('sha1').hexdigest().upper()}", f"sha1:{b32.lower()}", f"sha1:{b32}", "sha-256:" + base64.b64encode(sha("sha256").digest()).decode(), "md5:" + sha("md5").hexdigest(), "blake9:zz", "sha1:odd", "sha1"]
+    good = [foreign("response", i, block, f"WARC-Block-Digest: {d}", "X-Long: one", "  and more: two") for i, d in enumerate(told)]
+    bad = [foreign("response", "b0", block, f"WARC-Block-Digest: sha256:{sha('sha256', b'x').hexdigest()}"), foreign("response", "b1", block, f"WARC-Payload-Digest: md5:{sha('md5').hexdigest()}")]
+    visits = [foreign("revisit", "r0", b"", f"WARC-Payload-Digest: sha256:{sha('sha256').hexdigest()}", "X-Payload-Length: many"), foreign("revisit", "r1", b"", "WARC-Payload-Digest: sha1:???"), foreign("revisit", "r2", b"")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(warc.member, good + bad + visits)))
+    (tmp_path / "b.warc").write_bytes(b"".join(good))
+    rows = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    ids = [r["record_id"] for r in rows if r["gap"] is None]
+    assert sorted(ids) == sorted([f"<urn:x:{i}>" for i in range(len(told))] * 2 + ["<urn:x:r0>", "<urn:x:r1>", "<urn:x:r2>"])
+    assert sorted(r["gap"] for r in rows if r["gap"]) == ["block digest differs", "payload digest differs"]
+    found = {r["record_id"]: (r["payload_bytes"], r["payload_digest"]) for r in rows if r["record_type"] == "revisit"}
+    assert found == {"<urn:x:r0>": (None, sha("sha256").hexdigest()), "<urn:x:r1>": (None, None), "<urn:x:r2>": (None, None)}
+
+
+def test_reading_members_is_linear():
+    import time
+
+    def seconds(n):
+        data = warc.member(warc.record("metadata", [("WARC-Record-ID", "<x>")], b"some text " * 40)) * n
+        began = time.process_time()
+        assert sum(len(g) == 4 for g in warc.salvage(data)) == n
+        return time.process_time() - began
+
+    assert seconds(16_000) < 12 * seconds(4_000)
+
+
+def test_a_lost_record_is_noticed(spark, monkeypatch):
+    import pytest
+
+    real = warc.salvage
+    monkeypatch.setattr(warc, "read_archives", lambda spark, folder, read=warc.read_archives: read(spark, folder).where("record_id is null or record_id <> '<urn:page:2>'"))
+    with pytest.raises(RuntimeError, match="did not come back"):
+        warc.round_trip(spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], PAGES))
+    assert warc.salvage is real
+
+
 def test_main_text():
     page = (
         '<html><head><title>T</title></head><body class="no-sidebar"><nav><ul><li><a href="/a">Menu item</a></ul></nav><!-- <p>no</p> --><div class="ad">Buy this now, it is great. Really.</div>'

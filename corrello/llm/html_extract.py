@@ -1,13 +1,16 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of text blocks with their DOM paths.  A small linear
-classifier gives each block a cost for being called content and a cost for
-being called boilerplate; these are the capacities to the two terminals.
-Neighbouring blocks, and following blocks of one parent, are tied by smoothness
-edges that are the stronger the nearer they are in the DOM.  The minimum cut,
-found by max-flow, separates content from boilerplate with the least total cost.
-
-Everything happens per page, so nothing is shuffled.
+A page becomes a row of text blocks with their DOM paths.  A classifier, a
+logistic model of each block's layout and form, gives its log-odds of being
+content; these are the capacities to the two terminals.  Neighbouring blocks,
+and following blocks of one parent, are tied by smoothness edges that are the
+stronger the nearer they are in the DOM.  The minimum cut, found by max-flow,
+separates content from boilerplate with the least total cost.
+
+The model is learned from the labelled pages of ``page_examples``; the scale of
+the smoothness edges is the one that labels a second set of them best.  Both are
+a matter of a second, happen on the driver and go to the tasks as a few numbers.
+Everything else happens per page, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corrello.llm.page_examples import labelled_pages
 from corrello.store import table
 
 # Element names of HTML.
@@ -53,7 +59,11 @@ AGAINST = set(
     "sidebar signup skip social sponsor sponsored subscribe subscription taboola toc toolbar topbar widget widgets".split()
 )
 AGAINST_TAGS = set("nav footer aside form menu dialog search fieldset".split())
-FOR_TAGS = {"article": 8.0, "main": 6.0}
+TEXT_TAGS = set("p pre blockquote h1 h2 h3 h4 h5 h6".split())
+#: Labelled pages to learn from, and to choose the scale of the edges by.
+TRAIN_PAGES, SCALE_PAGES = 400, 150
+#: Scales of the smoothness edges that are tried.
+SCALES = (0.0, 0.25, 0.5, 1.0, 2.0, 4.0)
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|$))|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|</[^a-zA-Z][^>]*(?:>|$)",
@@ -68,8 +78,12 @@ class Element:
     tag: str
     depth: int
     up: Element | None
-    speaks: float = 0.0  # of itself and all around it
-    against: bool = False
+    # of itself and all around it:
+    article: bool = False
+    main: bool = False
+    named: int = 0  # elements with names that speak for content
+    off_tag: bool = False
+    off_name: bool = False
     hidden: bool = False
     link: bool = False
 
@@ -84,19 +98,25 @@ class Block:
 
 def _element(tag: str, attrs: str, up: Element | None) -> Element:
     depth = up.depth + 1 if up else 0
-    e = Element(tag, depth, up, up.speaks if up else 0.0, bool(up and up.against), bool(up and up.hidden) or tag in NO_TEXT, bool(up and up.link) or tag == "a")
+    e = Element(tag, depth, up)
+    if up:
+        e.article, e.main, e.named, e.off_tag, e.off_name = up.article, up.main, up.named, up.off_tag, up.off_name
+    e.hidden, e.link = bool(up and up.hidden) or tag in NO_TEXT, bool(up and up.link) or tag == "a"
     names: set[str] = set()
     if "=" in attrs:
         for name, value in _ATTR.findall(attrs):
             if name.lower() in ("class", "id", "role"):
                 names.update(x.lower() for x in _NAMES.findall(value))
     outer = tag in ("html", "body", "main")
-    in_article = bool(up and up.speaks > 0)
-    against = not outer and (tag in AGAINST_TAGS or bool(names & AGAINST) or (tag == "header" and not in_article))
+    inside = e.article or e.main or e.named > 0
     if tag == "article":
-        against = bool(names & {"comment", "comments", "reply", "ad", "advert", "sponsored", "related", "promo"})
-    e.against = e.against or against
-    e.speaks += FOR_TAGS.get(tag, 0.0) + (4.0 if names & FOR and not outer else 0.0)
+        e.off_name = e.off_name or bool(names & {"comment", "comments", "reply", "ad", "advert", "sponsored", "related", "promo"})
+    elif not outer:
+        e.off_tag = e.off_tag or tag in AGAINST_TAGS or (tag == "header" and not inside)
+        e.off_name = e.off_name or bool(names & AGAINST)
+    e.article = e.article or tag == "article"
+    e.main = e.main or tag == "main"
+    e.named += bool(names & FOR) and not outer
     return e
 
 
@@ -197,19 +217,31 @@ def _distance(a: Element, b: Element) -> int:
     return steps
 
 
-def costs(blocks: list[Block]) -> list[float]:
-    """Positive: what it costs to call the block boilerplate; negative: content."""
-    framed = any(b.home.speaks >= 6.0 and not b.home.against for b in blocks)
-    out = []
-    for b in blocks:
-        words = b.text.count(" ") + 1
-        score = b.home.speaks - (24.0 if b.home.against else 0.0)
-        if b.home.speaks <= 0:
-            score += -3.0 if framed else -1.0
-            score += min(words, 40) / 10 + (1.0 if re.search(r"[.!?…]", b.text) else 0.0)
-            score += 1.0 if b.home.tag in ("p", "pre", "blockquote") else 0.0
-        score -= 4.0 * (b.linked / max(1, len(b.text))) ** 2 * (words < 25)
-        out.append(score)
+_SENTENCE = re.compile(r"[.!?…]")
+
+
+def features(blocks: list[Block]) -> np.ndarray:
+    """One row of layout and form per block."""
+    framed = any((b.home.article or b.home.main or b.home.named) and not (b.home.off_tag or b.home.off_name) for b in blocks)
+    out = np.zeros((len(blocks), 12))
+    for i, b in enumerate(blocks):
+        e, words = b.home, b.text.count(" ") + 1
+        inside = e.article or e.main or e.named > 0
+        off = e.off_tag or e.off_name
+        out[i] = (
+            1,
+            e.article,
+            e.main,
+            min(e.named, 2),
+            e.off_tag,
+            e.off_name,
+            off and inside,
+            framed and not inside,
+            min(1.0, b.linked / max(1, len(b.text))) ** 2 * (words < 25) * (not inside),
+            np.log1p(min(words, 60)) * (not inside),
+            bool(_SENTENCE.search(b.text)) * (not inside),
+            e.tag in TEXT_TAGS and not inside,
+        )
     return out
 
 
@@ -226,6 +258,54 @@ def ties(blocks: list[Block]) -> list[tuple[int, int, float]]:
     return out
 
 
+@dataclass(frozen=True, slots=True)
+class Model:
+    """Weights of a block's features (their sum is its log-odds), scale of the edges."""
+
+    weights: tuple[float, ...]
+    scale: float
+
+    def costs(self, blocks: list[Block]) -> list[float]:
+        """Positive: what it costs to call the block boilerplate; negative: content."""
+        return (features(blocks) @ np.array(self.weights)).tolist()
+
+    def labels(self, blocks: list[Block]) -> list[bool]:
+        return minimum_cut(self.costs(blocks), [(a, b, self.scale * w) for a, b, w in ties(blocks)])
+
+
+def learn(train: list[tuple[str, dict[str, bool]]], choose: list[tuple[str, dict[str, bool]]], ridge: float = 0.02, steps: int = 40) -> Model:
+    """Logistic regression by Newton's method on ``train``; the scale (the least of
+    the best) is the one with which the cut errs least on ``choose``."""
+
+    def known(pages):
+        for page, truth in pages:
+            blocks = blocks_of(page)
+            yield blocks, [truth.get(b.text) for b in blocks]
+
+    x, y = [], []
+    for blocks, truth in known(train):
+        rows = features(blocks)
+        for row, t in zip(rows, truth, strict=True):
+            if t is not None:
+                x.append(row)
+                y.append(t)
+    xs, ys = np.array(x), np.array(y, float)
+    w = np.zeros(xs.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(xs @ w, -30, 30)))
+        grad = xs.T @ (p - ys) + ridge * w
+        w -= np.linalg.solve((xs * (p * (1 - p))[:, None]).T @ xs + ridge * np.eye(len(w)), grad)
+    weights = tuple(round(float(v), 6) for v in w)
+    pages = list(known(choose))
+    wrong = {s: sum(t is not None and t != k for blocks, truth in pages for t, k in zip(truth, Model(weights, s).labels(blocks), strict=True)) for s in SCALES}
+    return Model(weights, min(SCALES, key=lambda s: (wrong[s], s)))
+
+
+@lru_cache(maxsize=1)
+def default_model() -> Model:
+    return learn(labelled_pages(TRAIN_PAGES, 1), labelled_pages(SCALE_PAGES, 2))
+
+
 def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for blocks on the content side.  Max-flow by shortest augmenting
     levels (Dinic); blocks with a zero cost and no pull are boilerplate."""
@@ -289,23 +369,24 @@ def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list
                 room[e ^ 1] += flow
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, model: Model | None = None) -> str:
     """Content blocks in page order, joined by an empty line; "" if there are none."""
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    keep = minimum_cut(costs(blocks), ties(blocks))
-    return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    kept = (model or default_model()).labels(blocks)
+    return "\n\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages``; null html is
     an empty page.  Nothing else is dropped or cut."""
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
+    model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(2)]
+            texts = [main_text(x.as_py(), model) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))

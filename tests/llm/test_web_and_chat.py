@@ -102,6 +102,23 @@ def test_main_text():
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav><a href=x>m</a></nav>") == ""
 
 
+def test_learned_costs_and_what_the_cut_overrules():
+    from corrello.llm.page_examples import labelled_pages
+
+    model = html_extract.default_model()
+    assert model == html_extract.learn(labelled_pages(html_extract.TRAIN_PAGES, 1), labelled_pages(html_extract.SCALE_PAGES, 2))
+    blocks = by_sign = by_cut = overruled = 0
+    for page, truth in labelled_pages(200, 9):  # pages that it has not seen
+        own = html_extract.blocks_of(page)
+        for block, cost, kept in zip(own, model.costs(own), model.labels(own), strict=True):
+            blocks, by_sign, by_cut = blocks + 1, by_sign + ((cost > 0) != truth[block.text]), by_cut + (kept != truth[block.text])
+            overruled += (cost > 0) != kept
+    assert blocks > 3000 and overruled >= 8 and by_cut < by_sign and by_cut < 0.02 * blocks
+    short = "<body><div>" + "".join(f"<p>{'many words make this a paragraph of the story ' * 3}{i}.</p>" for i in range(4)) + '<p><a href="/x">All of it a link</a></p>' + "<p>And here the story goes on for some more words, as it should.</p></div></body>"
+    at = [b.text for b in html_extract.blocks_of(short)].index("All of it a link")
+    assert model.costs(html_extract.blocks_of(short))[at] < 0 and "All of it a link" in html_extract.main_text(short)
+
+
 def test_minimum_cut_equals_brute_force():
     import itertools
     import random

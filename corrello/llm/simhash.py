@@ -26,14 +26,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from corrello.operators.components import connected_components
-from corrello.store import keep
+from corrello.store import keep, table
 
 RADIUS = 3
+#: Fingerprints with more than one in so many rows are hot.
+HOT = 1000
 #: (shift, bits) of the three blocks.
 BLOCKS = ((0, 21), (21, 22), (43, 21))
 #: Members of one variant up to which all of them are compared in one numpy step.
@@ -60,20 +63,21 @@ def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) ->
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` for every row: 3-word shingles, XXH64 seed 42, majority bit.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *others: Column) -> DataFrame:
+    """``(doc_id, others..., fp)`` for every row: 3-word shingles, XXH64 seed 42, majority bit.
 
     A-Z are lower-cased, words are runs of bytes other than ASCII white space,
     and fewer than three words form one shingle.  Null and empty texts get 0.
     """
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"), *others)
+    names = [*rows.columns[1:], "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(0)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64))], names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], StructField("fp", LongType())]))
 
 
 def _ball() -> list[tuple[int, np.uint64, np.ndarray]]:
@@ -212,6 +216,25 @@ def fingerprint_links(distinct_fps: DataFrame) -> DataFrame:
     return dealt.select("part", "key", "fp").mapInArrow(_links, "a long, b long").distinct()
 
 
+def _with_classes(fps: DataFrame) -> DataFrame:
+    """Add component_id (least doc_id of the class) and class_fp (one per class) to
+    rows with doc_id and fp, which must be a written table.
+
+    A fingerprint with more than a thousandth of all rows is hot; there are fewer
+    than HOT of them whatever the data, so their classes are broadcast, and the
+    rows of all others are dealt by fingerprint."""
+    nodes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    classes = connected_components(fingerprint_links(nodes)).select(F.col("node").alias("fp"), "component")
+    linked = nodes.join(classes, "fp", "left").withColumn("class_fp", F.coalesce("component", "fp"))
+    lowest = linked.groupBy("class_fp").agg(F.min("first_id").alias("component_id"))
+    owner = keep(linked.join(lowest, "class_fp").select("fp", "n", "class_fp", "component_id"), "simhash-owner")
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > total / HOT
+    common = F.broadcast(owner.where(hot).drop("n"))
+    rest = fps.join(F.broadcast(owner.where(hot).select("fp")), "fp", "left_anti").join(owner.where(~hot).drop("n"), "fp")
+    return rest.unionByName(fps.join(common, "fp"))
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -220,29 +243,26 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Rows with a null doc_id are classed like any other; a class of nulls only
     has a null component_id.  Repeated rows stay repeated.
     """
-    fps = keep(fingerprints(docs, id_col, text_col), "simhash-fps")
-    nodes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    classes = connected_components(fingerprint_links(nodes)).select(F.col("node").alias("fp"), "component")
-    linked = nodes.join(classes, "fp")
-    lowest = linked.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    moved = linked.join(lowest, "component").select("fp", "class_id")
-    owner = nodes.join(moved, "fp", "left").select("fp", F.coalesce("class_id", "first_id").alias("component_id"))
-    return fps.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = _with_classes(keep(fingerprints(docs, id_col, text_col), "simhash-fps"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    from corrello.store import table
-
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the row with the smallest doc_id stays.
 
-    Rows that repeat a doc_id are kept once.  Rows with a null doc_id cannot be
-    named as a copy of another and stay.
+    If rows of a class share that doc_id, the one with the least hash of its text
+    stays, then of all its columns: which row it is does not depend on how rows
+    are dealt.  Rows that share a doc_id but not a class are each judged in their
+    own.  Rows with a null doc_id cannot be named as a copy of another and stay.
     """
-    stay = near_duplicate_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    once = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))
-    kept = docs.join(stay, "doc_id", "left_semi").withColumn("_nth", once).where("_nth = 1")
-    return kept.select(docs.columns).union(docs.where("doc_id is null"))
+    mark = F.xxhash64("text").alias("mark")
+    rows = _with_classes(keep(fingerprints(docs.where("doc_id is not null"), "doc_id", "text", mark), "simhash-fps"))
+    stay = rows.groupBy("class_fp").agg(F.min(F.struct("doc_id", "mark")).alias("s")).select("s.*").distinct()
+    carried = docs.select("doc_id", mark, F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    nth = F.row_number().over(W.partitionBy("doc_id", "mark").orderBy(F.xxhash64("row")))
+    kept = carried.join(stay, ["doc_id", "mark"], "left_semi").withColumn("nth", nth).where("nth = 1")
+    return kept.select("row.*").union(docs.where("doc_id is null"))

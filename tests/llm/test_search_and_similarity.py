@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -44,6 +45,32 @@ def test_topk_of_few_and_none(spark):
     assert topk_search.top_k(none, topk_search.Index(none), 5).count() == 0
 
 
+def test_topk_drops_no_sound_vector(spark):
+    big, small = float(1 << 40), [0.25, -0.5]
+    rows = [(0, [3.0, 1.0]), (1, small), (2, [big, -big]), (3, [-big, 1.0]), (4, [1e30, 1e30]), (50, [1.0] * 3), (51, [2.0] * 3), (52, [0.1] * 4), (100, [0.0, 0.0]), (100, [0.5, 0.5]), (100, [0.5, 0.5])]
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in dict.fromkeys((i, tuple(v)) for i, v in rows)]
+    df = topk_search.quantised(spark.createDataFrame([(i, v, 0) for i, v in rows if i != 4], "vec_id long, embedding array<double>, label int"))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(df.where("vec_id % 50 = 0"), topk_search.Index(df), 3).collect())
+    want = []
+    for q in (0, 50, 100):
+        scores = sorted((-sum(a * b for a, b in zip(v, c, strict=True)), j) for i, v in whole if i == q for j, c in whole if j not in (q, 4) and len(c) == len(v))
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(scores[:3])]
+    assert got == want
+    whole_df = topk_search.quantised(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int"))
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.top_k(whole_df.where("vec_id % 50 = 0"), topk_search.Index(whole_df), 3).collect()
+
+
+def test_index_excludes_far_annuli(spark):
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [c + rng.gauss(0, 0.01) for c in centres[i % 12]], 0) for i in range(1200)]
+    df = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    index, queries = topk_search.Index(df), df.where("vec_id % 50 = 0")
+    found = topk_search.top_k(queries, index, 5)
+    assert found.count() == 24 * 5 and topk_search.share_excluded(queries, index, found) > 0.5
+
+
 def slow_fingerprint(text):
     words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\n", " ").replace("\t", " ").split(" ") if w]
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
@@ -133,3 +160,20 @@ def test_one_of_each_class_stays(spark, docs):
     assert kept.columns == rows.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 3), (False, 9), (True, 0), (True, 0)]
     assert simhash.near_duplicate_classes(docs([])).count() == 0
+
+
+def test_stage_is_deterministic_and_carries_rows(spark, docs):
+    text, other = " ".join(f"w{i}" for i in range(200)), "quite another text " * 9
+    rows = docs([(4, text), (4, other), (7, other), (4, text), (8, text + " w0")]).withColumn("_nth", F.lit(5)).withColumn("row", F.lit("r")).withColumn("a.b", F.col("doc_id") * 2)
+    got = [sorted(map(tuple, simhash.drop_near_duplicates(spark, rows.repartition(n), "").collect())) for n in (1, 3)]
+    assert got[0] == got[1] and sorted(r[1] for r in got[0]) == sorted([text, other]) and all(r[0] == 4 and r[-3:] == (5, "r", 8) for r in got[0])
+    assert simhash.drop_near_duplicates(spark, docs([]), "").count() == 0
+
+
+def test_hot_fingerprints(spark, docs, monkeypatch):
+    rows = docs([(i, "a common text of some words") for i in range(40)] + [(100 + i, f"text number {i} is {i * 7} alone") for i in range(30)])
+    want = sorted(map(tuple, simhash.near_duplicate_classes(rows).collect()))
+    assert len(want) == 70
+    for hot in (1, 2, 10**9):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        assert sorted(map(tuple, simhash.near_duplicate_classes(rows).collect())) == want

@@ -19,6 +19,19 @@ STOPWORDS = (
 ).split()
 TRUNCATED = "\n…[truncated]"
 SECOND_LEVEL = ["co", "com", "org", "net", "ac", "gov", "edu"]
+#: Dead spelling and live form, applied in this order.
+REFANG = (
+    (r"(?iU)\bhxxps\b", "https"),
+    (r"(?iU)\bhxxp\b", "http"),
+    (r"(?i)\[(?:\.|dot)\]|\((?:\.|dot)\)|\{(?:\.|dot)\}", "."),
+    (r"(?iU)\s+\[?dot\]?\s+", "."),
+    (r"\[:\]", ":"),
+    (r"\[://\]", "://"),
+    (r":\\/\\/", "://"),
+    (r"\[/\]", "/"),
+    (r"(?i)\[(?:@|at)\]|\((?:@|at)\)", "@"),
+    (r"(?iU)\s+\[?at\]?\s+(?=[\w-]+\.[a-z]{2,})", "@"),
+)
 # ---- end of fixed values
 
 
@@ -54,19 +67,7 @@ def source_class(source: Column) -> Column:
 
 def refang(text: Column) -> Column:
     """Bring indicators that were made unclickable back to their live form."""
-    steps = [
-        (r"(?iU)\bhxxps\b", "https"),
-        (r"(?iU)\bhxxp\b", "http"),
-        (r"(?i)\[(?:\.|dot)\]|\((?:\.|dot)\)|\{(?:\.|dot)\}", "."),
-        (r"(?iU)\s+\[?dot\]?\s+", "."),
-        (r"\[:\]", ":"),
-        (r"\[://\]", "://"),
-        (r":\\/\\/", "://"),
-        (r"\[/\]", "/"),
-        (r"(?i)\[(?:@|at)\]|\((?:@|at)\)", "@"),
-        (r"(?iU)\s+\[?at\]?\s+(?=[\w-]+\.[a-z]{2,})", "@"),
-    ]
-    for pattern, live in steps:
+    for pattern, live in REFANG:
         text = F.regexp_replace(text, pattern, live)
     return text
 

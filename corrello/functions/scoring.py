@@ -40,16 +40,20 @@ def term_weight(text: Column, terms: dict[str, float]) -> Column:
 def relevance(text: Column, title: Column, profile: dict, context: dict[str, Column] | None = None) -> Column:
     """0 to 1: topic and harm terms must meet, or a campaign be named.  Terms in
     the title count again; ``context`` adds a venue's weight per class."""
-    low, low_title = with_hyphens_spread(text), with_hyphens_spread(title)
-    weight = {}
-    for cls in ("topic", "harm", "campaign"):
-        terms = profile.get(f"{cls}_terms") or {}
-        weight[cls] = term_weight(low, terms) + term_weight(low_title, terms) + (context or {}).get(cls, F.lit(0.0))
-    topic, harm, campaign = (weight[c] for c in ("topic", "harm", "campaign"))
-    rise = lambda x, scale: 1 - F.exp(-x / scale)
-    both = F.sqrt(rise(topic, 2.0) * rise(harm, 2.0))
-    both = F.when((harm < 1.5) & (campaign == 0), both * harm / 1.5).otherwise(both)
-    return F.bround(F.least(F.greatest(both, 0.9 * rise(campaign, 1.5)), F.lit(1.0)), 3)
+    classes = ("topic", "harm", "campaign")
+
+    def weights(low: Column) -> Column:
+        return F.struct(*[(term_weight(low["b"], profile.get(f"{c}_terms") or {}) + term_weight(low["t"], profile.get(f"{c}_terms") or {}) + (context or {}).get(c, F.lit(0.0))).alias(c) for c in classes])
+
+    def score(w: Column) -> Column:
+        rise = lambda x, scale: 1 - F.exp(-x / scale)
+        topic, harm, campaign = (w[c] for c in classes)
+        both = F.sqrt(rise(topic, 2.0) * rise(harm, 2.0))
+        both = F.when((harm < 1.5) & (campaign == 0), both * harm / 1.5).otherwise(both)
+        return F.bround(F.least(F.greatest(both, 0.9 * rise(campaign, 1.5)), F.lit(1.0)), 3)
+
+    low = F.struct(with_hyphens_spread(text).alias("b"), with_hyphens_spread(title).alias("t"))
+    return let(let(low, weights), score)
 
 
 def matched_terms(text: Column, terms: Iterable[str]) -> Column:

@@ -65,11 +65,33 @@ def source_class(source: Column) -> Column:
     return F.substring_index(source, ":", 1)
 
 
+#: What a text must hold for the refang step of the same place to apply.
+_REFANG_NEEDS = (
+    lambda v: F.lower(v).contains("hxxps"),
+    lambda v: F.lower(v).contains("hxxp"),
+    lambda v: v.contains("[") | v.contains("(") | v.contains("{"),
+    lambda v: F.lower(v).contains("dot"),
+    lambda v: v.contains("[:]"),
+    lambda v: v.contains("[://]"),
+    lambda v: v.contains(":\\/\\/"),
+    lambda v: v.contains("[/]"),
+    lambda v: v.contains("[") | v.contains("("),
+    lambda v: v.contains(".") & F.lower(v).contains("at"),
+)
+
+
 def refang(text: Column) -> Column:
-    """Bring indicators that were made unclickable back to their live form."""
-    for pattern, live in REFANG:
-        text = F.regexp_replace(text, pattern, live)
-    return text
+    """Bring indicators that were made unclickable back to their live form.  Each
+    step is taken only where a plain search finds what it cannot do without."""
+
+    def apply(at: int, value: Column) -> Column:
+        if at == len(REFANG):
+            return value
+        pattern, live = REFANG[at]
+        guard = _REFANG_NEEDS[at](value)
+        return let(F.when(guard, F.regexp_replace(value, pattern, live)).otherwise(value), lambda v: apply(at + 1, v))
+
+    return apply(0, text)
 
 
 def defang(value: Column) -> Column:

@@ -174,7 +174,14 @@ def extract_hash(spark, sf_dir):
     return _of_type(spark, sf_dir, ["md5", "sha1", "sha256"])
 
 
-@query("extract_all_types")
+_HOST = r"lower(regexp_extract(url, '(?i)^https?://(?:[^/?#]*@)?([^/:?#]+)', 1))"
+
+
+@query(
+    "extract_all_types",
+    f"""SELECT 'page ' || page_id AS id, 'url' AS type, regexp_replace(url, '[.,;:!?''"]+$', '') AS value FROM pages UNION ALL SELECT DISTINCT 'page ' || page_id, 'domain', {_HOST} FROM pages
+UNION ALL SELECT 'doc ' || doc_id, type, value FROM ({ORACLE_SQL["extract_email"]}) UNION ALL SELECT 'doc ' || doc_id, type, value FROM ({ORACLE_SQL["extract_ip"]}) UNION ALL SELECT 'doc ' || doc_id, type, value FROM ({ORACLE_SQL["extract_hash"]})""",
+)
 def extract_all_types(spark, sf_dir):
     """Every indicator type over page addresses and documents together."""
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), "page_id").alias("id"), F.col("url").alias("text"))
@@ -182,9 +189,6 @@ def extract_all_types(spark, sf_dir):
     return indicators.observables(pages.union(docs), "id", tlds=[*indicators.COMMON_TLDS, "example"])
 
 
-_HOST = r"lower(regexp_extract(url, '(?i)^https?://(?:[^/?#]*@)?([^/:?#]+)', 1))"
-
-
 @query("page_hosts", f"SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1")
 def page_hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(indicators.host_of(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
@@ -227,7 +231,12 @@ def refang_defang(spark, sf_dir):
 def normalise_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalise(F.col("text"))).alias("normal"))
 
-@query("sentence_split")
+_SPLIT = r"""string_split(regexp_replace(regexp_replace(regexp_replace({0}, '([.!?])\s+', '\1' || chr(30), 'g'), '\n{{2,}}', chr(30), 'g'), '\r?\n([A-Z"''“])', chr(30) || '\1', 'g'), chr(30))"""
+_TRIMMED = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+_SENTENCES = f"""list_filter(list_transform({_SPLIT}, lambda x: {_TRIMMED}), lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) BETWEEN 3 AND 60)"""
+
+
+@query("sentence_split", f"WITH s AS (SELECT doc_id, {_SENTENCES.format('text')} AS s FROM documents) SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, md5(array_to_string(s, chr(10))) AS digest FROM s")
 def sentence_split(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
     return rows.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("digest"))
@@ -243,11 +252,22 @@ def title_first_line(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.first_line(F.col("text")).alias("title"))
 
 
-@query("text_windows")
+_WINDOW_WORDS = ["the", "que", "der", "tion", "en", "on"]
+_CUTS = f"""list_filter(list_transform(range(1, len(w) - {{0}} + 2), lambda i: w[i:i + {{0}} - 1]), lambda c: c[1] NOT IN ({_STOP}) AND c[-1] NOT IN ({_STOP})
+AND len(list_filter(c, lambda t: t IN ({", ".join(f"'{k}'" for k in _WINDOW_WORDS)}))) > 0 AND len(list_filter(c, lambda t: t NOT IN ({_STOP}))) >= 3)"""
+
+
+@query(
+    "text_windows",
+    f"""WITH b AS (SELECT item_id, list_filter(string_split({_NORMAL}, ' '), lambda x: x <> '') AS w FROM benchmark),
+c AS (SELECT item_id, {", ".join(f"{_CUTS.format(n)} AS c{n}" for n in (7, 6, 5, 4))} FROM b),
+f AS (SELECT item_id, CASE WHEN len(c7) > 0 THEN c7 WHEN len(c6) > 0 THEN c6 WHEN len(c5) > 0 THEN c5 ELSE c4 END AS c FROM c)
+SELECT item_id, array_to_string(unnest(c[1:3]), ' ') AS "window" FROM f""",
+)
 def text_windows(spark, sf_dir):
     """Search windows of benchmark passages."""
     rows = table(spark, sf_dir, "benchmark").select("item_id", text.normalise(F.col("text")).alias("p"))
-    return rows.select("item_id", pivots.windows(F.col("p"), ["the", "que", "der", "tion", "en", "on"]).alias("w")).select("item_id", F.explode("w").alias("window"))
+    return rows.select("item_id", pivots.windows(F.col("p"), _WINDOW_WORDS).alias("w")).select("item_id", F.explode("w").alias("window"))
 
 
 @query("item_ids", "SELECT doc_id, left(sha256(source || '|' || CAST(doc_id AS VARCHAR)), 32) AS id FROM documents")
@@ -318,7 +338,18 @@ def stage_classify(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(scoring.stages(F.col("text"), PROFILE["stages"]), ",").alias("stages"))
 
 
-@query("lure_phrases")
+_WHOLE = r"""regexp_matches(p, '(^|[^\p{L}\p{M}\p{Nd}\p{Pc}])%s($|[^\p{L}\p{M}\p{Nd}\p{Pc}])')"""
+
+
+@query(
+    "lure_phrases",
+    f"""WITH s AS (SELECT conv_id, turn, {_SENTENCES.format("text")} AS s FROM conversations),
+u AS (SELECT conv_id, turn, unnest(s) AS text, generate_subscripts(s, 1) AS i FROM s),
+n AS (SELECT conv_id, turn, {_NORMAL} AS p, min(i) AS i FROM u GROUP BY ALL),
+h AS (SELECT *, ({" + ".join(f"CAST({_WHOLE % k} AS INTEGER)" for k in PROFILE["lure_keywords"])})::DOUBLE AS h, len(list_filter(string_split(p, ' '), lambda w: w <> '')) AS n FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY h + h / greatest(5, n) * 20 DESC, i) AS place FROM h WHERE n >= 5 AND h > 0)
+SELECT conv_id, turn, CAST(place - 1 AS INTEGER) AS place, p AS phrase FROM r WHERE place <= 12""",
+)
 def lure_phrases(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", scoring.lure_phrases(F.col("text"), PROFILE["lure_keywords"]).alias("p"))
     return rows.select("conv_id", "turn", F.posexplode("p").alias("place", "phrase"))
@@ -368,7 +399,14 @@ def dup_window_pairs(spark, sf_dir):
     return dedup.repeat_pairs(_event_items(spark, sf_dir))
 
 
-@query("dup_fold")
+@query(
+    "dup_fold",
+    """WITH RECURSIVE s AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS sec, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events),
+f AS (SELECT user_id, event_type, k, event_id, CAST(NULL AS BIGINT) AS dup_of, [{'sec': sec, 'id': event_id}] AS anchors FROM s WHERE k = 1
+UNION ALL SELECT user_id, event_type, k, event_id, hit, CASE WHEN hit IS NULL THEN list_append(anchors, {'sec': sec, 'id': event_id}) ELSE anchors END
+FROM (SELECT s.*, f.anchors, list_filter(f.anchors, lambda x: abs(x.sec - s.sec) <= 604800)[1].id AS hit FROM f JOIN s ON s.user_id = f.user_id AND s.event_type = f.event_type AND s.k = f.k + 1))
+SELECT event_id AS id, dup_of FROM f""",
+)
 def dup_fold(spark, sf_dir):
     return dedup.fold_repeats(_event_items(spark, sf_dir))
 
@@ -409,19 +447,19 @@ def hub_observables(spark, sf_dir):
 
 @query(
     "hard_link_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS v FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45),
-k AS (SELECT v FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND 25), p AS (SELECT c, v FROM e WHERE v IN (SELECT v FROM k)),
-n AS (SELECT a.c AS a, b.c AS b FROM p a JOIN p b USING (v) WHERE a.c <> b.c),
-r AS (SELECT c AS node, c AS root FROM p UNION SELECT n.b, r.root FROM r JOIN n ON n.a = r.node)
-SELECT node AS case_id, min(root) AS component FROM r GROUP BY 1""",
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS v FROM lineitem WHERE l_returnflag = 'R'),
+k AS (SELECT v FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND 25), s AS (SELECT c AS a, min(c) OVER (PARTITION BY v) AS b FROM e WHERE v IN (SELECT v FROM k)),
+n AS (SELECT a, b FROM s WHERE a <> b UNION SELECT b, a FROM s WHERE a <> b),
+r(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM n
+  UNION (SELECT DISTINCT ON (u.node) u.node, v.root FROM recurring.r u JOIN n ON n.a = u.node JOIN r v ON v.node = n.b WHERE v.root < u.root ORDER BY u.node, v.root))
+SELECT node AS case_id, root AS component FROM r""",
 )
 def hard_link_components(spark, sf_dir):
-    """Classes by shared hard observables, over star links instead of pairs."""
+    """Classes by shared hard observables, over star links instead of pairs; the
+    SQL hands down the least member along the same links."""
     return graph.clusters(graph.hard_links(_edges(spark, sf_dir), 25), 1)
 
 
-ORACLE_SQL.pop("hard_link_components")  # the recursive closure is too slow on whole tables, and its cut by quantity is not the query's; tests hold the classes against brute force
-
 _LADDER = """ev AS (SELECT l_orderkey AS component, l_suppkey AS grp, max(CASE WHEN p_size > 45 THEN 3 WHEN p_size > 25 THEN 2 ELSE 1 END) AS r FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 n AS (SELECT component, count(*) FILTER (r = 3) AS high, count(*) FILTER (r = 2) AS medium, count(*) FILTER (r = 1) AS low FROM ev GROUP BY 1)"""
 
@@ -449,33 +487,6 @@ def single_reporter(spark, sf_dir):
     return evidence.single_reporters(members.select("component", "case_id"), members.select("case_id", "author"))
 
 
-@query(
-    "leads_topk",
-    """SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
-ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 9 END, o_totalprice DESC, o_orderkey LIMIT 20""",
-)
-def leads_topk(spark, sf_dir):
-    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").join(returned, "o_orderkey", "left_anti")
-    rank = F.when(F.col("o_orderpriority").startswith("1"), 0).when(F.col("o_orderpriority").startswith("2"), 1).otherwise(9)
-    return rows.orderBy(rank, F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice", "o_orderpriority")
-
-
-@query(
-    "enrich_queue",
-    """WITH last AS (SELECT o_custkey, max(o_orderdate) AS day FROM orders GROUP BY 1),
-d AS (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer LEFT JOIN last ON c_custkey = o_custkey WHERE day IS NULL OR day < TIMESTAMP '1997-06-01'),
-r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS place FROM d)
-SELECT c_mktsegment, c_custkey, CAST(place AS INTEGER) AS place FROM r WHERE place <= 15""",
-)
-def enrich_queue(spark, sf_dir):
-    last = state.latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate"), ["o_custkey"], "o_orderdate")
-    fresh = last.where(F.col("o_orderdate") >= F.lit("1997-06-01").cast("timestamp")).select(F.col("o_custkey").alias("c_custkey"))
-    due = table(spark, sf_dir, "customer").join(fresh, "c_custkey", "left_anti")
-    place = F.row_number().over(W.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey"))
-    return due.withColumn("place", place).where("place <= 15").select("c_mktsegment", "c_custkey", "place")
-
-
 @query("first_seen", "SELECT user_id, event_type, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT event_id) AS case_count FROM events GROUP BY 1, 2")
 def first_seen(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("type"), F.col("user_id").alias("value"), F.col("ts").alias("seen_at"), F.col("event_id").alias("case_id"))
@@ -542,9 +553,24 @@ def bm25_search(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query("boolean_search")
+_ASKED = "'of', 'the', 'licensed', 'that', 'nicht'"
+_PLAIN = r"regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g')"
+
+
+@query(
+    "boolean_search",
+    rf"""WITH tx AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS tk FROM documents),
+fit AS (SELECT doc_id, text FROM (SELECT *, ' ' || array_to_string(tk, ' ') || ' ' AS pad FROM tx) WHERE contains(pad, ' of the ') AND (contains(pad, ' licensed ') OR contains(pad, ' that ')) AND NOT contains(pad, ' nicht ')),
+st AS (SELECT count(*) AS n, avg(len(tk)) AS mean FROM tx WHERE len(tk) > 0), tf AS (SELECT doc_id, term, count(*) AS f, any_value(len) AS len FROM (SELECT doc_id, unnest(tk) AS term, len(tk) AS len FROM tx) WHERE term IN ({_ASKED}) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS d FROM tf GROUP BY 1),
+sc AS (SELECT doc_id, sum(greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM tf JOIN df USING (term), st GROUP BY 1),
+b AS (SELECT doc_id, score, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM sc JOIN fit USING (doc_id) ORDER BY score DESC, doc_id LIMIT 20),
+p AS (SELECT *, greatest(list_position(list_transform(w, lambda x: {_PLAIN} IN ({_ASKED})), true) - 1 - 4, 0) + 1 AS start FROM b)
+SELECT doc_id AS id, round(score, 6) AS score, array_to_string(list_transform(w[start:start + 11], lambda x: CASE WHEN {_PLAIN} IN ({_ASKED}) THEN '[' || x || ']' ELSE x END), ' ') AS snippet FROM p""",
+)
 def boolean_search(spark, sf_dir):
-    return search.search(table(spark, sf_dir, "documents"), "doc_id", ["text"], '"of the" AND (licensed OR that) NOT nicht')
+    found = search.search(table(spark, sf_dir, "documents"), "doc_id", ["text"], '"of the" AND (licensed OR that) NOT nicht')
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -567,9 +593,26 @@ def cross_lang_label_join(spark, sf_dir):
     return rows.groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("case_pipeline")
-def case_pipeline(spark, sf_dir):
-    """Documents through gate, repeat folding and extraction to edges."""
+_SCRIPT = "(" + " + ".join(f"CAST(contains(' ' || p || ' ', ' {k} ') AS INTEGER)" for k in PROFILE["lure_keywords"]) + ")"
+_PART = "(" + " + ".join(f"CAST(contains(p, '{k}') AS INTEGER)" for k in PROFILE["lure_keywords"]) + ")"
+_ROLE = "CASE type WHEN 'email' THEN 'contact' WHEN 'ip' THEN 'links-to' ELSE 'hash' END"
+#: Gate, folding of repeated bodies, wording and indicators of the cases.
+_CASES = f"""{_RELEVANCE},
+g AS (SELECT doc_id, d.source, text, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^ | $', '', 'g') AS q FROM documents d JOIN r USING (doc_id) WHERE round_even(score, 3) >= 0.5),
+fold AS (SELECT *, CASE WHEN length(q) > 200 THEN min(doc_id) OVER (PARTITION BY source, q) ELSE doc_id END AS first_id FROM g),
+c AS (SELECT doc_id, source, text FROM fold WHERE first_id = doc_id),
+qu AS (SELECT doc_id, unnest(regexp_extract_all(text, '["“]([^"”]{{20,240}})["”]', 1)) AS text, generate_subscripts(regexp_extract_all(text, '["“]([^"”]{{20,240}})["”]', 1), 1) AS i FROM c),
+qn AS (SELECT doc_id, {_NORMAL} AS p, min(i) AS i FROM qu GROUP BY ALL), qo AS (SELECT * FROM qn WHERE len(list_filter(string_split(p, ' '), lambda w: w <> '')) BETWEEN 4 AND 40),
+su AS (SELECT doc_id, unnest({_SENTENCES.format("text")}) AS text, generate_subscripts({_SENTENCES.format("text")}, 1) AS i FROM c),
+sn AS (SELECT doc_id, {_NORMAL} AS p, min(i) AS i FROM su GROUP BY ALL),
+sh AS (SELECT doc_id, p, i, ({" + ".join(f"CAST({_WHOLE % k} AS INTEGER)" for k in PROFILE["lure_keywords"])})::DOUBLE AS h, len(list_filter(string_split(p, ' '), lambda w: w <> '')) AS n FROM sn ANTI JOIN qo USING (doc_id, p)),
+ph AS (SELECT doc_id, p, 10.0::DOUBLE + {_PART} AS s, i FROM qo UNION ALL SELECT doc_id, p, h + h / greatest(5, n) * 20, i + 1000000 FROM sh WHERE n >= 5 AND h > 0),
+pr AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, i) AS place FROM ph),
+ind AS (SELECT doc_id, type, value FROM ({ORACLE_SQL["extract_email"]}) SEMI JOIN c USING (doc_id) UNION ALL SELECT doc_id, type, value FROM ({ORACLE_SQL["extract_ip"]}) SEMI JOIN c USING (doc_id) UNION ALL SELECT doc_id, type, value FROM ({ORACLE_SQL["extract_hash"]}) SEMI JOIN c USING (doc_id)),
+lt AS (SELECT doc_id, lure_type FROM ({ORACLE_SQL["lure_classify"]}) SEMI JOIN c USING (doc_id))"""
+
+
+def _case_tables(spark, sf_dir):
     from corrello.plans.cases import build_cases
 
     items = table(spark, sf_dir, "documents").select(
@@ -577,4 +620,40 @@ def case_pipeline(spark, sf_dir):
         F.col("source").alias("author"), F.lit("").alias("title"), F.col("text").alias("body"), F.timestamp_seconds("doc_id").alias("published_at"),
         F.timestamp_seconds("doc_id").alias("fetched_at"), F.lit(0).alias("generation"),
     )
-    return build_cases(items, PROFILE, 0.5).edges.select("case_id", "type", "value", "role", "confidence")
+    return build_cases(items, PROFILE, 0.5)
+
+
+@query(
+    "case_pipeline",
+    f"""WITH {_CASES}
+SELECT CAST(doc_id AS VARCHAR) AS case_id, type, value, {_ROLE} AS role, 1.0::DOUBLE AS confidence FROM ind
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'phrase', p, 'phrase', 0.8 FROM pr WHERE place <= 6 AND len(list_filter(string_split(p, ' '), lambda w: w <> '')) >= 6 AND {_SCRIPT} >= 2
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'lure_type', lure_type, 'classified', 0.7 FROM lt""",
+)
+def case_pipeline(spark, sf_dir):
+    """Documents through gate, repeat folding and extraction to edges."""
+    return _case_tables(spark, sf_dir).edges.select("case_id", "type", "value", "role", "confidence")
+
+
+@query(
+    "case_relationships",
+    f"""WITH {_CASES}
+SELECT 'case' AS src_type, CAST(doc_id AS VARCHAR) AS src_value, CASE type WHEN 'email' THEN 'contacted-via' WHEN 'ip' THEN 'resolves-to' ELSE 'has-hash' END AS predicate, type AS dst_type, value AS dst_value FROM ind
+UNION ALL SELECT 'raw_item', CAST(doc_id AS VARCHAR), 'duplicate-of', 'case', CAST(first_id AS VARCHAR) FROM fold WHERE first_id <> doc_id""",
+)
+def case_relationships(spark, sf_dir):
+    return _case_tables(spark, sf_dir).relationships
+
+
+@query(
+    "case_rows",
+    f"""WITH {_CASES}, st AS ({ORACLE_SQL["stage_classify"]}), n AS (SELECT first_id AS doc_id, count(*) AS n FROM fold WHERE first_id <> fold.doc_id GROUP BY 1),
+wd AS (SELECT doc_id, string_agg(p, '|' ORDER BY place) AS wording FROM pr WHERE place <= 12 GROUP BY 1)
+SELECT CAST(c.doc_id AS VARCHAR) AS case_id, lure_type, stages, coalesce(md5(wording), md5('')) AS wording, coalesce(n, 0) AS repeats FROM c LEFT JOIN lt USING (doc_id) LEFT JOIN st USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN wd USING (doc_id)""",
+)
+def case_rows(spark, sf_dir):
+    """One row per case: classification, stages, wording and notes on repeats."""
+    cases = _case_tables(spark, sf_dir).cases
+    notes = F.coalesce(F.size(F.filter(F.split("notes", "\n"), lambda x: x != "")), F.lit(0)).cast("long")
+    notes = F.when(F.col("notes").isNull(), F.lit(0).cast("long")).otherwise(notes)
+    return cases.select("case_id", "lure_type", F.array_join("stages", ",").alias("stages"), F.md5(F.array_join("lure_text", "|")).alias("wording"), notes.alias("repeats"))

@@ -103,7 +103,8 @@ def persist_identity(members: DataFrame, old_members: DataFrame, old_clusters: D
         else:
             rows.append((component, own, n, not (shared[component, own] == n == sizes[own])))
     named = spark.createDataFrame(rows, "component string, cluster_id string, size int, changed boolean")
-    merged = old_clusters.select("cluster_id", F.col("status").alias("s"), F.col("is_new").alias("w"), F.col("created_at").alias("c"), F.col("updated_at").alias("u"), F.col("size").alias("z")).join(named, "cluster_id", "full")
+    calls = [c for c in ("lineage", "note") if c in old_clusters.columns]  # an analyst's, kept as they are
+    merged = old_clusters.select("cluster_id", F.col("status").alias("s"), F.col("is_new").alias("w"), F.col("created_at").alias("c"), F.col("updated_at").alias("u"), F.col("size").alias("z"), *calls).join(named, "cluster_id", "full")
     gone = F.col("component").isNull()
     clusters = merged.select(
         "cluster_id",
@@ -112,6 +113,7 @@ def persist_identity(members: DataFrame, old_members: DataFrame, old_clusters: D
         F.coalesce("c", as_of).alias("created_at"),
         F.when(gone & (F.col("s") == "closed"), F.col("u")).otherwise(as_of).alias("updated_at"),
         F.coalesce("size", "z").alias("size"),
+        *calls,
     )
     cases = members.withColumn("component", F.col("component").cast("string")).join(named.select("component", "cluster_id"), "component").select("cluster_id", "case_id")
     return clusters, cases
@@ -123,12 +125,19 @@ def mark_seen(clusters: DataFrame) -> DataFrame:
     return clusters.withColumns({"status": F.when(fresh & (F.col("status") == "new"), "seen").otherwise(F.col("status")), "is_new": F.lit(False)})
 
 
-def assess(clusters: DataFrame, cluster_id: str, lineage: str) -> DataFrame:
-    """An analyst's call on lineage sets open clusters to investigating; it never
-    touches the confidence."""
+def assess(clusters: DataFrame, cluster_id: str, lineage: str, note: str | None = None) -> DataFrame:
+    """An analyst's call on lineage, with a note, stored with the cluster.  It sets
+    open clusters to investigating and never touches the confidence."""
     if lineage not in ("same", "different", "unknown"):
         raise ValueError("lineage must be same, different or unknown")
     if clusters.where(F.col("cluster_id") == cluster_id).isEmpty():
         raise KeyError(cluster_id)
-    hit = (F.col("cluster_id") == cluster_id) & F.col("status").isin("new", "seen")
-    return clusters.withColumn("status", F.when(hit, "investigating").otherwise(F.col("status")))
+    own = F.col("cluster_id") == cluster_id
+    before = lambda c: F.col(c) if c in clusters.columns else F.lit(None).cast("string")
+    return clusters.withColumns(
+        {
+            "status": F.when(own & F.col("status").isin("new", "seen"), "investigating").otherwise(F.col("status")),
+            "lineage": F.when(own, F.lit(lineage)).otherwise(before("lineage")),
+            "note": F.when(own, F.lit(note).cast("string")).otherwise(before("note")),
+        }
+    )

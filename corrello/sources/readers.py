@@ -143,8 +143,9 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 REGISTRY = {"urlhaus": abuse_feed, "rss": feed, "mastodon": toots, "reddit": reddit_archive, "github": repositories}
 
 
-def collect(spark: SparkSession, config: dict, fetched_at: Column, only: list[str] | None = None, start: Column | None = None) -> DataFrame:
-    """All enabled sources of ``config`` ({name: {"path": ..., ...options}})."""
+def collect(spark: SparkSession, config: dict, fetched_at: Column, only: list[str] | None = None, start: Column | None = None, generation: int = 0) -> DataFrame:
+    """All enabled sources of ``config`` ({name: {"path": ..., ...options}}); what a
+    follow-up query brought is of a later generation."""
     parts = []
     for name, reader in REGISTRY.items():
         own = dict(config.get(name) or {})
@@ -153,7 +154,7 @@ def collect(spark: SparkSession, config: dict, fetched_at: Column, only: list[st
         parts.append(since(reader(spark, own.pop("path"), **own), start))
     if not parts:
         return spark.createDataFrame([], RAW_ITEM)
-    return raw_items(reduce(lambda a, b: a.unionByName(b), parts), fetched_at).dropDuplicates(["id"])
+    return raw_items(reduce(lambda a, b: a.unionByName(b), parts), fetched_at, generation).dropDuplicates(["id"])
 
 
 def profile(path: str) -> dict:

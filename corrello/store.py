@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder; a local one only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         found = "file://" + tempfile.mkdtemp(prefix="corrello-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,3 +49,25 @@ def forget(df: DataFrame) -> None:
         if root.rstrip("/") in parent.replace("//", "/"):
             path = hadoop(parent)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _path(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any store that Spark reads is there."""
+    hadoop, store = _path(spark, path)
+    return store.exists(hadoop)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if it is not there."""
+    hadoop, store = _path(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(hadoop)) if store.exists(hadoop) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    hadoop, store = _path(spark, path)
+    store.create(hadoop, True).close()

@@ -6,7 +6,7 @@ Null in, null out, unless stated.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- Fixed values: closed lists and patterns that results depend on.
@@ -41,6 +41,13 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with costly columns that are computed once per row.  A filter over a
+    projected column is pushed below it with a second copy of its expression;
+    below a generator, which this is (one row in, one out), it is not."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def words(text: Column) -> Column:
     """Words between Unicode white space; empty array for blank text."""
     return F.array_remove(F.split(text, r"(?U)\s+"), "")
@@ -103,7 +110,8 @@ def defang(value: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """Lower case without URLs and punctuation, single spaces."""
-    text = F.regexp_replace(text, r"(?U)https?://\S+|\S+\.\S+/\S*", " ")
+    # nothing without a slash is an address
+    text = F.when(text.contains("/"), F.regexp_replace(text, r"(?U)https?://\S+|\S+\.\S+/\S*", " ")).otherwise(text)
     text = F.replace(F.lower(text), F.lit("’"), F.lit("'"))
     text = F.regexp_replace(text, r"(?U)[^\w\s'$@#.-]", " ")
     return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(" .-"))
@@ -168,17 +176,35 @@ def age_days(since: Column, as_of: Column) -> Column:
     return F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(since)) / 86_400).cast("int")
 
 
+def _content_words(text: Column, drop: list[str] | None) -> Column:
+    """Words of normalised text (which has single spaces only) without stop words."""
+    kept = F.array_remove(F.split(normalise(F.coalesce(text, F.lit(""))), " "), "")
+    drop = STOPWORDS if drop is None else drop
+    return F.filter(kept, lambda w: ~w.isin(drop)) if drop else kept
+
+
 def shingles(text: Column, k: int = 2, drop: list[str] | None = None) -> Column:
     """Distinct k-word shingles of normalised text without stop words; a shorter
     text is one shingle, a blank one has none."""
-    drop = STOPWORDS if drop is None else drop
-    kept = words(normalise(F.coalesce(text, F.lit(""))))
-    if drop:
-        kept = F.filter(kept, lambda w: ~w.isin(drop))
 
     def made(w: Column) -> Column:
         n = F.size(w)
         many = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
         return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
 
-    return let(kept, made)
+    return let(_content_words(text, drop), made)
+
+
+def shingle_hashes(text: Column, k: int = 2, drop: list[str] | None = None) -> Column:
+    """The shingles of ``shingles`` as distinct 64-bit hashes, without building
+    their strings; a shorter text is one shingle, a blank one has none."""
+    def made(h: Column) -> Column:
+        n = F.size(h)
+        many = h
+        for i in range(1, k):  # h[j], h[j + 1], ... are mixed one after the other
+            left = F.slice(many, F.lit(1), F.greatest(n - i, F.lit(0)))
+            many = F.zip_with(left, F.slice(h, F.lit(1 + i), F.greatest(n - i, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+        few = F.transform(F.array(F.xxhash64(h)), lambda x: x)
+        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, few).otherwise(F.array_distinct(many))
+
+    return let(F.transform(_content_words(text, drop), lambda w: F.xxhash64(w)), made)

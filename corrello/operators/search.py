@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrello.functions.text import let
+from corrello.functions.text import let, once
 
 K1, B = 1.2, 0.75
 _PART = re.compile(r'"([^"]*)"|(\()|(\))|(\S+?)(?=[()\s"]|$)')
@@ -30,7 +30,8 @@ def stem(word: Column) -> Column:
 def inverted_index(df: DataFrame, id_col: str, columns: list[str], stemmed: bool = False) -> DataFrame:
     """``(id, term, tf, positions, length)`` over all columns together."""
     tokens = F.concat(*[terms(F.col(c)) for c in columns])
-    each = df.select(F.col(id_col).alias("id"), tokens.alias("t")).select("id", F.size("t").alias("length"), F.posexplode("t").alias("pos", "term"))
+    rows = once(df.select(F.col(id_col).alias("id"), *columns), {"_tokens": tokens})
+    each = rows.select("id", F.size("_tokens").alias("length"), F.posexplode_outer("_tokens").alias("pos", "term")).where("pos is not null")
     if stemmed:
         each = each.withColumn("term", stem(F.col("term")))
     return each.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))

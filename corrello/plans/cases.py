@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corrello.functions import scoring
 from corrello.functions.indicators import TYPES, host_of, with_indicators
-from corrello.functions.text import case_text, snippet, source_class, strip
+from corrello.functions.text import case_text, once, snippet, source_class, strip
 from corrello.operators.dedup import fold_repeats
 from corrello.operators.pivots import case_queries
 from corrello.store import keep
@@ -43,7 +43,7 @@ def scored(items: DataFrame, profile: dict, trusted: list[str] = TRUSTED) -> Dat
         named = F.col("source").isin(list(venues)) if venues else F.lit(False)
         context[cls] = F.coalesce(exact, F.when(~named, _lookup(F.col("source_class"), weights, "double")), F.lit(0.0))
     score = scoring.relevance(F.col("text"), F.col("title"), profile, context)
-    return rows.withColumn("relevance", F.when(F.col("source_class").isin(trusted), F.greatest(score, F.lit(0.9))).otherwise(score))
+    return once(rows, {"relevance": F.when(F.col("source_class").isin(trusted), F.greatest(score, F.lit(0.9))).otherwise(score)})
 
 
 def gate(rows: DataFrame, threshold: float, per_source: dict[str, float] | None = None) -> DataFrame:

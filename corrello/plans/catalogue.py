@@ -77,11 +77,9 @@ SELECT node AS doc_id, min(root) AS component FROM r GROUP BY node""",
 def near_dup_components(spark, sf_dir):
     """Connected classes of similar documents; copies are never expanded."""
     members, pairs = similarity.similar_classes(table(spark, sf_dir, "documents"), "doc_id", "text", 0.3)
-    sizes = members.groupBy("set_key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    links = pairs.select("a", "b").union(sizes.where("n > 1").select(F.col("set_key").alias("a"), F.col("set_key").alias("b")))
-    classes = connected_components(links)
-    named = classes.join(sizes, classes.node == sizes.set_key).withColumn("low", F.min("first").over(W.partitionBy("component")))
-    return members.join(named.select("set_key", "low"), "set_key").select(F.col("id").alias("doc_id"), F.col("low").alias("component"))
+    copies = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
+    classes = connected_components(pairs.select("a", "b").union(copies)).withColumnRenamed("node", "set_id")
+    return members.join(classes, "set_id").select(F.col("id").alias("doc_id"), "component")
 
 
 @query(
@@ -91,7 +89,7 @@ def near_dup_components(spark, sf_dir):
 )
 def shingle_stats(spark, sf_dir):
     """How many shingles occur in how many documents."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.shingles(F.col("text"))).alias("sh"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(text.shingle_hashes(F.col("text"))).alias("sh")).where("sh is not null")
     return rows.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).groupBy("df").agg(F.count(F.lit(1)).alias("n_shingles"))
 
 
@@ -130,9 +128,9 @@ def contamination_join(spark, sf_dir):
 
     def grams(df, id_col):
         w = F.split(F.trim(F.regexp_replace(F.lower("text"), r"(?U)[\s\p{P}]+", " ")), " ")
-        rows = df.select(F.col(id_col), w.alias("w")).where(F.size("w") >= 8)
+        rows = text.once(df.select(id_col, "text"), {"w": w}).where(F.size("w") >= 8)
         each = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))
-        return rows.select(id_col, F.explode(F.array_distinct(each)).alias("s"))
+        return rows.select(id_col, F.explode_outer(F.array_distinct(each)).alias("s"))
 
     both = grams(table(spark, sf_dir, "documents"), "doc_id").join(grams(table(spark, sf_dir, "benchmark"), "item_id"), "s")
     return both.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))

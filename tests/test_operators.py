@@ -184,3 +184,30 @@ def test_enrichment_edges(spark):
     assert {(r["provider"], r["value"]) for r in enrichment.queue(todo, log, as_of).where("provider in ('dns', 'rdap')").collect()} == {("dns", "e.example"), ("rdap", "e.example")}
     deps = spark.createDataFrame([('{"dependencies":{"a":"1"},"devDependencies":{"b":"2"}}', "# c\nFlask>=2\n-r x\nodd_lib[x]==1")], "p string, r string")
     assert deps.select(enrichment.dependencies(F.col("p"), F.col("r"))).first()[0] == ["npm:a", "npm:b", "pypi:flask", "pypi:odd_lib"]
+
+
+def test_dense_links_give_the_classes_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(11)
+    kinds = ["domain", "ip", "nameserver", "dependency", "phrase"]
+    rows = [(rng.randint(0, 60), rng.choice(kinds), f"v{rng.randint(0, 9)}") for _ in range(220)] + [(i, "ip", "big") for i in range(70, 90)] + [(i, "nameserver", "wide") for i in range(75, 95)]
+    edges = spark.createDataFrame(rows, "case_id long, type string, value string")
+    none = spark.createDataFrame([], "a long, b long, sim double")
+
+    def classes(dense):
+        held = graph.case_graph(edges, none, 1, absolute=40, fraction=0.0, dense=dense)
+        return sorted(map(tuple, graph.clusters(held, 1).collect())), held.count()
+
+    (want, pairs), (got, links), (all_star, fewest) = classes(None), classes(5), classes(1)
+    assert got == want == all_star and pairs > links > fewest > 0
+
+
+def test_copies_as_a_star(spark):
+    texts = ["one two three four five six seven eight nine ten"] * 12 + ["one two three four five six seven eight nine eleven"] * 2 + ["quite other words stand here today instead of those others there friend"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    every = similarity.similar_pairs(df, "id", "text", 0.3)
+    star = similarity.similar_pairs(df, "id", "text", 0.3, most_copies=3)
+    assert every.count() == 91 and star.count() == 11 + 1 + 2
+    one = lambda links: sorted(map(tuple, graph.clusters(links, 1).collect()))
+    assert one(every) == one(star)

@@ -3,8 +3,8 @@
 A post repeats an earlier one that is no repeat itself if both are by the same
 named author, at most seven days apart, and have the same title, or the same
 body of more than 200 characters.  The rule depends on order (fetched_at, id),
-so it is a fold: authors are the unit of parallelism, and in an author only
-posts with an equal title or body can match, found by their keys.
+so it is a fold.  Only posts with an equal title or body can match, found by
+their keys: what hangs together by them is the unit of parallelism.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrello.functions.text import squeeze, title_key
+from corrello.operators.components import connected_components
+from corrello.store import keep
 
 NOBODY = ["", "[deleted]", "automoderator", "unknown"]
 WEEK = 7 * 86_400
@@ -71,23 +73,32 @@ def fold_repeats(items: DataFrame) -> DataFrame:
 
     Items without a named author, and those that share no key with another of
     their author, never enter the fold.  A missing date is taken as fetched_at.
-    Rows stream through one task per author sorted in time, so an author of any
-    size is folded with memory for the anchors only."""
+    The unit of the fold is a group: posts of an author that hang together by
+    equal titles or bodies, so an author of very many posts is many groups.  A
+    group streams through one task sorted in time, with memory for its anchors."""
     rows = keyed(items).withColumn("at", F.unix_timestamp(F.coalesce("published_at", "fetched_at")).cast("double"))
-    each = rows.where("author_key is not null").select("id", "author_key", "fetched_at", "at", F.concat(F.lit("t"), "title_key").alias("t"), F.concat(F.lit("b"), "body_key").alias("b"))
+    key = lambda kind: F.when(F.col("author_key").isNotNull(), F.concat("author_key", F.lit(f"\0{kind[0]}"), kind))
+    each = keep(rows.select("id", "fetched_at", "at", key("title_key").alias("t"), key("body_key").alias("b")), "fold-keys")
+    seen = each.select(F.explode(F.array_compact(F.array("t", "b"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    seen = keep(seen.select("key", F.xxhash64("key").alias("g")), "fold-shared")
+    told = each.join(seen.select(F.col("key").alias("t"), F.col("g").alias("tg")), "t", "left").join(seen.select(F.col("key").alias("b"), F.col("g").alias("bg")), "b", "left")
+    told = keep(told.withColumn("group", F.coalesce("tg", "bg")), "fold-told")
+    ties = told.where("tg is not null and bg is not null").select(F.col("tg").alias("a"), F.col("bg").alias("b")).distinct()
+    if not ties.isEmpty():
+        named = connected_components(ties).select(F.col("node").alias("group"), "component")
+        told = told.join(named, "group", "left").withColumn("group", F.coalesce("component", "group"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        author, fold = None, Fold()
+        group, fold = None, Fold()
         for pdf in batches:
             found = []
             for row in pdf.itertuples(index=False):
-                if row.author_key != author:
-                    author, fold = row.author_key, Fold()
+                if row.group != group:
+                    group, fold = row.group, Fold()
                 found.append(fold.add(row.id, row.at, [k for k in (row.t, row.b) if isinstance(k, str)]))
             yield pd.DataFrame({"id": pdf["id"], "dup_of": pd.Series(found, dtype=object)})
 
     kind = items.schema["id"].dataType.simpleString()
-    dealt = each.repartition("author_key").sortWithinPartitions("author_key", "fetched_at", "id")
+    dealt = told.where("group is not null").select("group", "fetched_at", "id", "at", "t", "b").repartition("group").sortWithinPartitions("group", "fetched_at", "id")
     folded = dealt.mapInPandas(run, f"id {kind}, dup_of {kind}")
-    rest = rows.where("author_key is null").select("id", F.lit(None).cast(kind).alias("dup_of"))
-    return folded.union(rest)
+    return folded.union(told.where("group is null").select("id", F.lit(None).cast(kind).alias("dup_of")))

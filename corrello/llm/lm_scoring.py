@@ -16,6 +16,7 @@ texts; only the rest of a text's words is shuffled to the word table.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from math import exp, log, log10
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from corrello.store import keep, table
 
 COMMON, COMMON_BYTES = 200_000, 64
+#: One in so many words makes a longer one hot.
+HOT_LONG = 10_000
 #: Distinct words a counting task holds before it hands them on.
 HELD = 250_000
 SMOOTH = 0.1
@@ -178,6 +181,20 @@ def common_words(model: DataFrame, most: int | None = None) -> DataFrame:
     return short.where(level >= cut) if cut is not None else short.limit(0)
 
 
+def _name(word: str) -> str:
+    """A long word's name among the common ones; it holds a space, as no word does."""
+    return " " + hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def hot_long_words(model: DataFrame) -> DataFrame:
+    """Words above COMMON_BYTES that are more than one in HOT_LONG of all words, so
+    fewer than HOT_LONG whatever the data, by name instead of letters: joined by
+    word, each would be the key of very many rows."""
+    total = model.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    long = model.where((F.octet_length("word") > COMMON_BYTES) & (F.col("total") * HOT_LONG > total))
+    return long.withColumn("word", F.concat(F.lit(" "), F.md5(F.encode("word", "utf-8"))))
+
+
 def score_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``
     for every row; null text is empty and has the end token only.  Rows may
@@ -190,7 +207,7 @@ def score_documents(docs: DataFrame, model_path: str) -> DataFrame:
     lattice = Lattice(*vocabulary(model_path), piece_counts(counts, model_path), int(ends))
     model = keep(score_words(counts, lattice), "lm-model")
     bottom = log10(tokens + distinct + 1)
-    top = common_words(model).select("word", "c", "logp")
+    top = common_words(model).select("word", "c", "logp").union(hot_long_words(model).select("word", "c", "logp"))
     common = spark.sparkContext.broadcast({r[0]: (r[1] > 0, log10(r[1] + 1) - bottom, r[2]) for r in top.collect()} | {END: (ends > 0, log10(ends + 1) - bottom, lattice.end)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +221,7 @@ def score_documents(docs: DataFrame, model_path: str) -> DataFrame:
                     total = base = lat = seen = 0
                     for w, n in (_counts(text.as_py()) | {END: 1}).items():
                         total += n
-                        if hit := known.get(w):
+                        if hit := known.get(w) or (len(w) > COMMON_BYTES // 4 and known.get(_name(w))):
                             seen += n * hit[0]
                             base += n * hit[1]
                             lat += n * hit[2]

@@ -153,6 +153,18 @@ def test_lm_scores(spark, docs, corpus, monkeypatch):
     assert lm_scoring.score_documents(docs([]), path).count() == 0
 
 
+def test_hot_long_words_are_scored_in_the_tasks(spark, docs, monkeypatch):
+    import public_tokenizers
+
+    path, word = public_tokenizers.path("piece_bpe_32k.model"), "É" + "ab" * 60
+    df = docs([(i, f"{word} {word} some other words {i}") for i in range(30)] + [(50, "x" * 90)])
+    want = sorted(map(tuple, lm_scoring.score_documents(df, path).collect()))
+    for most in (1, 3):  # none, and the one that is a third of the words
+        monkeypatch.setattr(lm_scoring, "HOT_LONG", most)
+        got = sorted(map(tuple, lm_scoring.score_documents(df, path).collect()))
+        assert [r[:5] for r in got] == [r[:5] for r in want] and np.allclose([r[5:] for r in got], [r[5:] for r in want])
+
+
 def test_classifier_sample_is_taken_of_labelled_texts(spark, docs, corpus, labels):
     ids = spark.createDataFrame([(i, 0, 0) for i in range(10_000, 10_400)], LABELS)  # labels without a document
     good, bad = quality_classifier.training_texts(docs(corpus), labels.union(ids), per_class=20)

@@ -463,3 +463,25 @@ def parsed_times(spark, sf_dir):
     ev_rows = table(spark, sf_dir, "events")
     made = lambda c: F.unix_timestamp(text.timestamp(c))
     return ev_rows.select("event_id", made(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("iso"), made(_str("event_id")).alias("digits"), made(F.col("event_type")).alias("other"))
+
+
+@query(
+    "refang_documents",
+    r"""SELECT doc_id, md5(replace(replace(replace(replace(text, 'http', 'hxxp'), '.', '[.]') || ' hr[at]corp(.)io a dot b', 'hxxp', 'http'), '[.]', '.').replace('hr[at]corp(.)io a dot b', 'hr@corp.io a.b')) AS live,
+md5(replace(replace(replace(text, 'http://', 'hxxp://'), 'https://', 'hxxps://'), '.', '[.]')) AS safe FROM documents""",
+)
+def refang_documents(spark, sf_dir):
+    """Whole texts made unclickable, with a tail, and brought back."""
+    dead = F.concat(F.replace(F.replace("text", F.lit("http"), F.lit("hxxp")), F.lit("."), F.lit("[.]")), F.lit(" hr[at]corp(.)io a dot b"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.refang(dead)).alias("live"), F.md5(text.defang(F.col("text"))).alias("safe"))
+
+
+@query(
+    "dns_facts",
+    f"WITH {_FIRST} SELECT CAST(c_custkey AS VARCHAR) AS value, '198.41.0.' || c_nationkey AS a, 'ns' || (c_custkey % 7) || '.example.org' AS ns, true AS resolves, 'mx1.example.org,mx' || (c_custkey % 3 + 2) || '.example.org' AS mail FROM c",
+)
+def dns_facts(spark, sf_dir):
+    """Captured name server answers, and the hosts of mail records."""
+    rows = enrichment.dns_records(_lookups(spark, sf_dir))
+    records = F.array(F.concat(F.lit("20 MX"), (F.col("value").cast("long") % 3 + 2).cast("string"), F.lit(".example.org.")), F.lit("10 mx1.example.org."))
+    return rows.select("value", F.array_join("a", ",").alias("a"), F.array_join("ns", ",").alias("ns"), "resolves", F.array_join(enrichment.mail_hosts(records), ",").alias("mail"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from corrello.llm.byte_bpe import op4_byte_level_bpe
 from corrello.llm.centroid_clusters import OP12_SQL, op12_dual_tree_lloyd
 from corrello.llm.chat_format import OP5_SQL, op5_chat_formatting
+from corrello.llm.doc_sketch import op11_bottom_k_sketch
 from corrello.llm.html_extract import op8_html_extraction
 from corrello.llm.lm_scoring import op9_lm_scoring
 from corrello.llm.packing import op10_best_fit_packing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_bottom_k_sketch": op11_bottom_k_sketch,
     "op12_dual_tree_lloyd": op12_dual_tree_lloyd,
 }
 
@@ -32,5 +34,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": OP1_SQL,
     "op5_chat_formatting": OP5_SQL,
     "op7_warc_round_trip": OP7_SQL,
+    "op11_bottom_k_sketch": op11_bottom_k_sketch,
     "op12_dual_tree_lloyd": OP12_SQL,
 }

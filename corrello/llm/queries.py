@@ -9,6 +9,7 @@ from corrello.llm.doc_sketch import op11_bottom_k_sketch
 from corrello.llm.html_extract import op8_html_extraction
 from corrello.llm.lm_scoring import op9_lm_scoring
 from corrello.llm.packing import op10_best_fit_packing
+from corrello.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from corrello.llm.quality_classifier import op3_quality_classifier
 from corrello.llm.quality_rules import op2_quality_rules
 from corrello.llm.topk_search import OP1_SQL, op1_topk_search
@@ -28,12 +29,13 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_bottom_k_sketch": op11_bottom_k_sketch,
     "op12_dual_tree_lloyd": op12_dual_tree_lloyd,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": OP1_SQL,
     "op5_chat_formatting": OP5_SQL,
     "op7_warc_round_trip": OP7_SQL,
-    "op11_bottom_k_sketch": op11_bottom_k_sketch,
     "op12_dual_tree_lloyd": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }

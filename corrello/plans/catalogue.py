@@ -15,7 +15,8 @@ from pyspark.sql.window import Window as W
 from corrello.functions import html, indicators, scoring, text
 from corrello.operators import dedup, evidence, graph, pivots, search, similarity, state
 from corrello.operators.components import connected_components
-from corrello.store import table
+from corrello.store import fresh_path, table
+from corrello.streaming import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -380,8 +381,11 @@ def stats(spark, sf_dir):
 
 
 def _event_items(spark, sf_dir):
+    return _as_items(table(spark, sf_dir, "events"))
+
+
+def _as_items(ev):
     """Events as posts: the user is the author, the type the title."""
-    ev = table(spark, sf_dir, "events")
     return ev.select(
         F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("author"), F.col("event_type").alias("title"), F.lit("").alias("body"),
         F.col("ts").cast("timestamp").alias("published_at"), F.timestamp_seconds("event_id").alias("fetched_at"),
@@ -409,6 +413,16 @@ def dup_fold(spark, sf_dir):
     return dedup.fold_repeats(_event_items(spark, sf_dir))
 
 
+@query("stream_fold", ORACLE_SQL["dup_fold"])
+def stream_fold(spark, sf_dir):
+    """The same fold over the same posts, read as a stream."""
+    path = fresh_path(spark, "stream-fold")
+    # a pattern, as the table may be one file, which a stream takes no other way
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    fold.stream_folds(_as_items(events), f"{path}/folds", f"{path}/checkpoint").awaitTermination()
+    return fold.current_folds(spark, f"{path}/folds", "bigint")
+
+
 @query("observable_case_counts", "SELECT l_partkey AS part, count(DISTINCT l_orderkey) AS n_cases FROM lineitem GROUP BY 1")
 def observable_case_counts(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")

@@ -18,7 +18,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrello.operators import enrichment, pivots, search, state
+from corrello.operators import enrichment, fulltext, pivots, state
 from corrello.plans.cases import CaseTables, build_cases
 from corrello.plans.clustering import build_clusters
 from corrello.plans.report import case_bundle, counts_by, leads, render, with_state
@@ -215,7 +215,8 @@ def main(argv: list[str] | None = None) -> str:
         by = {c: [tuple(r) for r in counts_by(df, c).collect()] for df, c in ((home.log("raw"), "source"), (built.edges, "type"))}
         return json.dumps(by | {"items": home.log("raw").count(), "cases": built.cases.count(), "repeats": built.repeats.count()})
     if args.verb == "search":
-        found = search.search(built.cases.withColumn("lure", F.array_join("lure_text", "\n")), "case_id", ["title", "body", "lure"], args.query, args.limit)
+        index = fulltext.build(built.cases.withColumn("lure", F.array_join("lure_text", "\n")), "case_id", ["title", "body", "lure"])
+        found = fulltext.search(index, args.query, args.limit, "body")
         return "\n".join(f"{r['id']}  {r['score']:.3f}  {r['snippet']}" for r in found.collect())
     if args.verb == "pivots":
         return "\n".join(f"{r['priority']} {r['status']:<7} {r['kind']:<7} {r['term']}  ({r['origin_case']})" for r in pivots.listing(home.terms(built, now)).limit(args.limit).collect())

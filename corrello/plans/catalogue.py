@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corrello.functions import html, indicators, scoring, text
-from corrello.operators import dedup, evidence, graph, pivots, search, similarity, state
+from corrello.operators import dedup, evidence, fulltext, graph, pivots, search, similarity, state
 from corrello.operators.components import connected_components
 from corrello.store import fresh_path, table
 from corrello.streaming import fold
@@ -585,6 +585,52 @@ def boolean_search(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+#: Which of the searched terms a word comes down to, by the endings that its stem loses.
+_TERMS = r"""SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: CASE WHEN regexp_matches(strip_accents(x), '^licens(e|ed|es|ing)$') THEN 'licens'
+  WHEN strip_accents(x) IN ('that', 'thats') THEN 'that' WHEN regexp_matches(strip_accents(x), '^nicht(s|ed|ing)?$') THEN 'nicht' WHEN strip_accents(x) IN ('the', 'thes', 'theing') THEN 'the'
+  WHEN strip_accents(x) IN ('of', 'ofs', 'ofed', 'ofing') THEN 'of' ELSE '' END) AS t FROM documents"""
+
+
+def _found(counts: str, score: str, fits: str) -> str:
+    return f"""WITH tk AS ({_TERMS}), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tk WHERE len(t) > 0),
+p AS (SELECT doc_id, len(t) AS len, {counts} FROM tk),
+s AS (SELECT p.doc_id, {score} AS score, {fits} AS fits FROM p, st)
+SELECT doc_id, round(score, 6) AS score FROM s WHERE fits"""
+
+
+def _hits(phrase: list[str]) -> str:
+    both = " AND ".join(f"t[i + {j}] = '{w}'" for j, w in enumerate(phrase))
+    return f"len(list_filter(range(1, len(t) + 1), lambda i: {both}))"
+
+
+def _bm(c: str) -> str:
+    return f"greatest(ln((n - (SELECT count(*) FROM p WHERE {c} > 0) + 0.5) / ((SELECT count(*) FROM p WHERE {c} > 0) + 0.5)), 1e-6) * {c} * 2.2 / ({c} + 1.2 * (0.25 + 0.75 * len / mean))"
+
+
+def _searched(spark, sf_dir, asked):
+    index = fulltext.build(table(spark, sf_dir, "documents"), "doc_id", ["text"])
+    return fulltext.search(index, asked, None).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "phrase_search",
+    _found(
+        f"{_hits(['of', 'the'])} AS c0, {_hits(['licens'])} AS c1, {_hits(['that'])} AS c2, {_hits(['nicht'])} AS c3",
+        " + ".join(map(_bm, ("c0", "c1", "c2", "c3"))),
+        "c0 > 0 AND (c1 > 0 OR c2 > 0) AND NOT c3 > 0",
+    ),
+)
+def phrase_search(spark, sf_dir):
+    """A phrase among single words, all documents that match."""
+    return _searched(spark, sf_dir, '"of the" AND (licensed OR that) NOT nicht')
+
+
+@query("stemmed_search", _found(f"{_hits(['licens'])} AS c0, {_hits(['that', 'the'])} AS c1", f"{_bm('c0')} + {_bm('c1')}", "c0 > 0 OR c1 > 0"))
+def stemmed_search(spark, sf_dir):
+    """A word that no text need hold as it stands finds what has its stem."""
+    return _searched(spark, sf_dir, 'licensing OR "that the"')
+
+
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "struct<k:bigint>")["k"].alias("k"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from corrello.store import forget, keep
+
 
 def insert_if_absent(new: DataFrame, old: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of ``new`` whose key ``old`` lacks, the first of each key."""
@@ -36,8 +38,6 @@ def display_ids(rows: DataFrame, prefix: str, order: list[str], width: int = 4,
     Numbers are dense without a single-partition window: rows are sorted by
     range, partitions counted, and each adds the counts before it."""
     ranked = rows.sort(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    from corrello.store import keep
-
     ranked = keep(ranked, "ids")
     counts = ranked.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("low")).orderBy("_p").collect()
     before, total = [], start
@@ -77,32 +77,54 @@ def match_clusters(components: Iterable[tuple[str, int]], overlaps: Iterable[tup
     return taken, sorted(set(sizes) - claimed)
 
 
+def claims(overlaps: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """``(component, cluster_id, shared)``: what ``match_clusters`` finds, in rounds.
+
+    overlaps: (component, size, cluster_id, cluster_size, shared), one row per pair with
+    shared cases.  Deferred acceptance: every component turns to the best cluster it
+    still may have (most shared cases, then the smaller id); a cluster is held by the
+    best-placed of those (larger size, then the smaller key) that share enough with it,
+    and is lost to all placed behind.  Holders only get better, so a cluster that is lost
+    stays lost; when no component has to turn elsewhere, every one has what it would have
+    got in its turn.  A component whose best free cluster shares too little gets none, and
+    does not keep it from others."""
+    place = F.struct((-F.col("size")).alias("s"), "component")
+    enough = F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("cluster_size") / 2))
+    offers = keep(overlaps.select("component", "cluster_id", "shared", place.alias("place"), enough.alias("enough")), "id-offers")
+    for _ in range(most_rounds):
+        wish = F.min_by(F.struct("cluster_id", "shared", "place", "enough"), F.struct((-F.col("shared")).alias("s"), "cluster_id"))
+        wishes = keep(offers.groupBy("component").agg(wish.alias("w")).select("component", "w.*"), "id-wishes")
+        holders = wishes.where("enough").groupBy("cluster_id").agg(F.min("place").alias("holder"))
+        lost = wishes.join(holders, "cluster_id").where("holder < place")
+        if lost.isEmpty():
+            return wishes.where("enough").select("component", "cluster_id", "shared")
+        left = offers.join(holders, "cluster_id", "left").where("holder is null or place <= holder").drop("holder")
+        after = keep(left.select(offers.columns), "id-offers")
+        forget(offers)
+        forget(wishes)
+        offers = after
+    raise RuntimeError(f"identities did not settle in {most_rounds} rounds")
+
+
 def persist_identity(members: DataFrame, old_members: DataFrame, old_clusters: DataFrame, as_of: Column, prefix: str = "CLU") -> tuple[DataFrame, DataFrame]:
     """New ``(clusters, cluster_cases)`` from components and the last state.
 
     clusters: cluster_id, status, is_new, created_at, updated_at, size.  A claimed
     cluster keeps its id and is new again only if its membership changed (a closed
-    one reopens); an unclaimed one closes.  Only the overlap counts between
-    components and clusters come to the driver; the greedy choice is sequential."""
-    spark = members.sparkSession
-    size_of = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    olds = old_members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    both = members.join(old_members, "case_id").groupBy("component", "cluster_id").agg(F.count(F.lit(1)).alias("k"))
-    sizes = {r["cluster_id"]: r["n"] for r in olds.collect()}
-    overlaps = [(str(r["component"]), r["cluster_id"], r["k"]) for r in both.collect()]
-    components = [(str(r["component"]), r["n"]) for r in size_of.collect()]
-    taken, _ = match_clusters(components, overlaps, sizes)
-    last = max([int(r["cluster_id"].rpartition("-")[2]) for r in old_clusters.select("cluster_id").collect()], default=0)
-    shared = {(c, o): k for c, o, k in overlaps}
-    rows = []
-    for component, n in sorted(components, key=lambda c: (-c[1], c[0])):
-        own = taken.get(component)
-        if own is None:
-            last += 1
-            rows.append((component, f"{prefix}-{last:04d}", n, True))
-        else:
-            rows.append((component, own, n, not (shared[component, own] == n == sizes[own])))
-    named = spark.createDataFrame(rows, "component string, cluster_id string, size int, changed boolean")
+    one reopens); an unclaimed one closes.  Components without one get new ids, larger
+    ones first.  Nothing but the greatest number in use comes to the driver."""
+    members = keep(members.select("case_id", F.col("component").cast("string").alias("component")), "id-members")
+    old_members = keep(old_members.select("case_id", "cluster_id"), "id-old")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    olds = old_members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
+    both = members.join(old_members, "case_id").groupBy("component", "cluster_id").agg(F.count(F.lit(1)).alias("shared"))
+    taken = keep(claims(both.join(sizes, "component").join(olds, "cluster_id")), "id-taken")
+    number = F.max(F.try_element_at(F.split("cluster_id", "-"), F.lit(-1)).cast("long"))
+    last = old_clusters.agg(F.coalesce(number, F.lit(0))).first()[0]
+    kept = sizes.join(taken, "component").join(olds, "cluster_id").select("component", "cluster_id", "size", (~((F.col("shared") == F.col("size")) & (F.col("size") == F.col("cluster_size")))).alias("changed"))
+    fresh = sizes.join(taken.select("component"), "component", "left_anti").withColumn("changed", F.lit(True))
+    fresh = display_ids(fresh, prefix, [F.desc("size"), "component"], name="cluster_id", start=last)
+    named = keep(kept.unionByName(fresh.select(kept.columns)).withColumn("size", F.col("size").cast("int")), "id-named")
     calls = [c for c in ("lineage", "note") if c in old_clusters.columns]  # an analyst's, kept as they are
     merged = old_clusters.select("cluster_id", F.col("status").alias("s"), F.col("is_new").alias("w"), F.col("created_at").alias("c"), F.col("updated_at").alias("u"), F.col("size").alias("z"), *calls).join(named, "cluster_id", "full")
     gone = F.col("component").isNull()
@@ -115,8 +137,7 @@ def persist_identity(members: DataFrame, old_members: DataFrame, old_clusters: D
         F.coalesce("size", "z").alias("size"),
         *calls,
     )
-    cases = members.withColumn("component", F.col("component").cast("string")).join(named.select("component", "cluster_id"), "component").select("cluster_id", "case_id")
-    return clusters, cases
+    return clusters, members.join(named.select("component", "cluster_id"), "component").select("cluster_id", "case_id")
 
 
 def mark_seen(clusters: DataFrame) -> DataFrame:

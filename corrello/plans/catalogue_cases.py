@@ -485,3 +485,35 @@ def dns_facts(spark, sf_dir):
     rows = enrichment.dns_records(_lookups(spark, sf_dir))
     records = F.array(F.concat(F.lit("20 MX"), (F.col("value").cast("long") % 3 + 2).cast("string"), F.lit(".example.org.")), F.lit("10 mx1.example.org."))
     return rows.select("value", F.array_join("a", ",").alias("a"), F.array_join("ns", ",").alias("ns"), "resolves", F.array_join(enrichment.mail_hosts(records), ",").alias("mail"))
+
+
+@query(
+    "cluster_identity",
+    """WITH RECURSIVE o AS (SELECT o_orderkey AS case_id, format('CLU-{:04d}', o_custkey) AS cluster_id, o_custkey % 3 AS kind,
+  CAST((o_custkey + CASE WHEN month(o_orderdate) <= 3 THEN 2 ELSE 0 END) // 2 AS VARCHAR) AS component FROM orders),
+old AS (SELECT cluster_id, min(kind) AS kind, count(*) AS cluster_size FROM o GROUP BY 1), new AS (SELECT component, count(*) AS size FROM o GROUP BY 1),
+f AS (SELECT component, list({'c': cluster_id, 's': shared, 'n': cluster_size} ORDER BY shared DESC, cluster_id) AS offers
+  FROM (SELECT component, cluster_id, count(*) AS shared FROM o GROUP BY 1, 2) JOIN old USING (cluster_id) GROUP BY 1),
+k AS (SELECT *, row_number() OVER (ORDER BY size DESC, component) AS place FROM new JOIN f USING (component)),
+r AS (SELECT CAST(0 AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS component, CAST(NULL AS VARCHAR) AS cluster_id
+  UNION ALL SELECT place, CASE WHEN hit THEN list_append(taken, best.c) ELSE taken END, component, CASE WHEN hit THEN best.c END
+  FROM (SELECT *, coalesce(b.best.s >= greatest(1, b.best.n // 2), false) AS hit
+    FROM (SELECT k.place, r.taken, k.component, list_filter(k.offers, lambda x: NOT list_contains(r.taken, x.c))[1] AS best FROM r JOIN k ON k.place = r.place + 1) b)),
+g AS (SELECT r.component, r.cluster_id, k.size, k.place FROM r JOIN k USING (place)),
+h AS (SELECT component, size, coalesce(cluster_id, format('CLU-{:04d}', (SELECT max(CAST(split_part(cluster_id, '-', 2) AS BIGINT)) FROM old) + row_number() OVER (PARTITION BY cluster_id IS NULL ORDER BY place))) AS cluster_id FROM g),
+same AS (SELECT o.cluster_id, o.component, count(*) AS shared FROM o GROUP BY 1, 2)
+SELECT cluster_id, CASE WHEN h.size IS NULL THEN 'closed' WHEN old.kind IS NULL OR old.kind = 2 THEN 'new' WHEN old.kind = 1 THEN 'seen' ELSE 'new' END AS status,
+  h.size IS NOT NULL AND coalesce(NOT (same.shared = h.size AND h.size = old.cluster_size), true) AS is_new, CAST(coalesce(h.size, old.cluster_size) AS INTEGER) AS size
+FROM old FULL JOIN h USING (cluster_id) LEFT JOIN same USING (cluster_id, component)""",
+)
+def cluster_identity(spark, sf_dir):
+    """Customers' orders as the clusters of yesterday, pairs of customers as today's."""
+    orders = table(spark, sf_dir, "orders")
+    moved = F.when(F.month("o_orderdate") <= 3, 2).otherwise(0)
+    cluster = F.format_string("CLU-%04d", "o_custkey").alias("cluster_id")
+    members = orders.select(F.col("o_orderkey").alias("case_id"), F.floor((F.col("o_custkey") + moved) / 2).alias("component"))
+    old = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    status = F.when(F.col("o_custkey") % 3 == 0, "new").when(F.col("o_custkey") % 3 == 1, "seen").otherwise("closed")
+    old = old.select(cluster, status.alias("status"), F.lit(False).alias("is_new"), _as_of().alias("created_at"), _as_of().alias("updated_at"), "size")
+    found, _ = state.persist_identity(members, orders.select(F.col("o_orderkey").alias("case_id"), cluster), old, _as_of())
+    return found.select("cluster_id", "status", "is_new", "size")

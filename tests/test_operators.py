@@ -211,3 +211,23 @@ def test_copies_as_a_star(spark):
     assert every.count() == 91 and star.count() == 11 + 1 + 2
     one = lambda links: sorted(map(tuple, graph.clusters(links, 1).collect()))
     assert one(every) == one(star)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_claims_in_rounds_equal_the_greedy_rule(spark, seed):
+    rng = random.Random(seed)
+    comps = {f"k{i}": rng.randrange(1, 12) for i in range(40)}
+    sizes = {f"CLU-{i:04d}": rng.randrange(1, 14) for i in range(25 if seed % 2 else 8)}
+    overlaps = sorted({(k, c, rng.randrange(1, 6)) for k in comps for c in rng.sample(sorted(sizes), 4)})
+    best = {(k, c): n for k, c, n in overlaps}
+    want, _ = state.match_clusters(comps.items(), [(k, c, n) for (k, c), n in best.items()], sizes)
+    rows = spark.createDataFrame([(k, comps[k], c, sizes[c], n) for (k, c), n in best.items()], "component string, size long, cluster_id string, cluster_size long, shared long")
+    assert {r["component"]: r["cluster_id"] for r in state.claims(rows).collect()} == want
+    assert state.claims(rows.where("1 = 0")).count() == 0
+
+
+def test_a_long_chain_of_claims_settles(spark):
+    # every component's first wish is held by the one before it
+    rows = [(f"k{i:02d}", 100 - i, f"CLU-{j:04d}", 2, 9 - (j != i - 1)) for i in range(12) for j in (i - 1, i) if j >= 0]
+    df = spark.createDataFrame(rows, "component string, size long, cluster_id string, cluster_size long, shared long")
+    assert {r["component"]: r["cluster_id"] for r in state.claims(df).collect()} == {f"k{i:02d}": f"CLU-{i:04d}" for i in range(12)}

@@ -9,7 +9,9 @@ probability of them.  (The least shows one chunk of little variety in a long tex
 
 Training is on the driver from a bounded, documented sample: at most
 ``PER_CLASS`` labelled documents of each class, the lowest id hashes of those
-that have a text of at most ``TRAIN_BYTES`` bytes.  Scoring covers all rows and whole texts.
+that have a text.  Of a text above ``TRAIN_BYTES`` bytes pieces are learned from that lie
+evenly over its whole length and have so many bytes together.  Scoring covers all rows and
+whole texts.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrello.store import table
+from corrello.store import keep, table
 
 WIDTH, STRIDE, DIM, FILTERS, CHUNK = 8, 4, 8, 48, 64
-PER_CLASS, TRAIN_BYTES = 1_200, 32_768
+PER_CLASS, TRAIN_BYTES, PIECES = 1_200, 32_768, 32
 STEPS, BATCH, RATE = 500, 32, 0.01
 #: A bad text weighs more in training, as the cut below favours keeping.
 BAD_WEIGHT, CUT = 2.0, 0.3
@@ -178,27 +180,37 @@ def train(good: list[bytes], bad: list[bytes], seed: int = 7) -> Params:
     return p
 
 
+def spread(text: bytes, most: int = TRAIN_BYTES, pieces: int = PIECES) -> bytes:
+    """A text of at most ``most`` bytes whole; of a longer one ``pieces`` equal pieces, the
+    first at its beginning, the last at its end, the others evenly between."""
+    if len(text) <= most:
+        return text
+    size = most // pieces
+    return b"".join(text[at : at + size] for at in ((len(text) - size) * i // (pieces - 1) for i in range(pieces)))
+
+
 def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[bytes], list[bytes]]:
     """Good and bad texts of the bounded sample, never from fold 0 (crc32 mod 5).
 
     Labels meet the documents before the sample is taken, so no place in it goes
-    to an id without a usable text.  A class that has only texts above
-    TRAIN_BYTES is learnt from their beginnings."""
+    to an id without a text.  The length of a text has no say in it; see ``spread``."""
     usable = labels.where("doc_id is not null and quality is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    size = docs.where("text is not null").select("doc_id", (F.octet_length("text") > TRAIN_BYTES).alias("_long"))
-    known = usable.select("doc_id", "quality").hint("merge").join(size, "doc_id").groupBy("doc_id", "quality").agg(F.min("_long").alias("_long"))
+    known = usable.select("doc_id", "quality").hint("merge").join(docs.where("text is not null").select("doc_id"), "doc_id")
+    known = keep(known.distinct(), "quality-known")
     picked: dict = {}
     for quality in (0, 1):
-        some = known.where(F.col("quality") == quality).orderBy("_long", F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
-        for row in [r for r in some if not r["_long"]] or some:
-            picked.setdefault(row["doc_id"], (quality, row["_long"]))
+        for row in known.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect():
+            picked.setdefault(row["doc_id"], quality)
     if not picked:
         return [], []
-    spark = docs.sparkSession
-    own = spark.createDataFrame([(i, *v) for i, v in picked.items()], f"_id {labels.schema['doc_id'].dataType.simpleString()}, _quality int, _long boolean")
-    rows = docs.select("doc_id", F.left("text", F.lit(TRAIN_BYTES)).alias("text"), (F.octet_length("text") <= TRAIN_BYTES).alias("_fits"))
-    rows = rows.join(F.broadcast(own), F.col("doc_id") == F.col("_id")).where("_fits or (_long and not _fits)")
-    found = sorted((r["doc_id"], r["_quality"], r["text"].encode("utf-8", "surrogatepass")[:TRAIN_BYTES]) for r in rows.select("doc_id", "_quality", "text").collect())
+    own = docs.sparkSession.createDataFrame(list(picked.items()), f"_id {labels.schema['doc_id'].dataType.simpleString()}, _quality int")
+
+    @F.arrow_udf("binary")
+    def thinned(texts: pa.Array) -> pa.Array:
+        return pa.array([spread(t.as_py().encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
+
+    rows = docs.where("text is not null").join(F.broadcast(own), F.col("doc_id") == F.col("_id")).select("doc_id", "_quality", thinned("text").alias("_text"))
+    found = sorted((r["doc_id"], r["_quality"], bytes(r["_text"])) for r in rows.collect())
     found = [x for i, x in enumerate(found) if not i or found[i - 1][0] != x[0]]  # a repeated row counts once
     return [t for _, q, t in found if q == 1], [t for _, q, t in found if q == 0]
 
@@ -206,7 +218,9 @@ def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
 
-    Null text counts as empty; an empty text gets the score of blanks.
+    Null text counts as empty; an empty text gets the score of blanks.  Texts of any
+    length are read whole, in chunks.  Repeated rows are scored each, an empty table
+    gives no rows, and columns other than doc_id and text are not read, so none clashes.
     held_out: crc32 of the id as text mod 5 is 0 (false for a null id)."""
     params = train(*training_texts(docs, labels))
 

@@ -175,6 +175,19 @@ def test_classifier_sample_is_taken_of_labelled_texts(spark, docs, corpus, label
     assert good and bad and {len(t) for t in good + bad} == {quality_classifier.TRAIN_BYTES}
 
 
+def test_long_texts_are_learned_from_all_over():
+    text = bytes(range(256)) * 1000
+    some = quality_classifier.spread(text)
+    assert len(some) == quality_classifier.TRAIN_BYTES and some.startswith(text[:1024]) and some.endswith(text[-1024:])
+    places = [text.find(some[i : i + 1024]) for i in range(0, len(some), 1024)]
+    assert all(p >= 0 for p in places)
+    assert quality_classifier.spread(text[:32_768]) == text[:32_768] and quality_classifier.spread(b"") == b""
+    marked = b"".join(b"%08d " % i for i in range(40_000))
+    some = quality_classifier.spread(marked)
+    at = [int(some[i : i + 1024].split()[1]) for i in range(0, len(some), 1024)]
+    assert at == sorted(at) and max(b - a for a, b in zip(at, at[1:], strict=False)) < 1.1 * 40_000 / 31
+
+
 def test_classifier_stage_learns_from_the_whole_table(spark, docs, corpus, labels, tmp_path, monkeypatch):
     monkeypatch.setattr(quality_classifier, "STEPS", 120)
     whole = docs(corpus)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrello.llm.page_examples import labelled_pages
+from corrello.llm.page_examples import labelled_pages, plain_pages
 from corrello.store import table
 
 # Element names of HTML.
@@ -49,11 +49,11 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 #: Elements that never hold running text of a page.
-NO_TEXT = RAW | set("head template svg math object canvas audio video select option button input datalist meter progress".split())
+NO_TEXT = RAW | set("head template svg object canvas audio video select option button input datalist meter progress".split())
 #: Words in class, id and role that speak for and against content.
 FOR = set("article content entry main post story text body prose".split())
 AGAINST = set(
-    "ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs byline comment comments complementary consent "
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments complementary consent "
     "contentinfo cookie cookies copyright dialog disqus footer form gdpr login masthead menu menubar modal nav navbar navigation newsletter "
     "notice notification outbrain pager pagination paywall popup promo promotion recommended related reply respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription taboola toc toolbar topbar widget widgets".split()
@@ -61,7 +61,7 @@ AGAINST = set(
 AGAINST_TAGS = set("nav footer aside form menu dialog search fieldset".split())
 TEXT_TAGS = set("p pre blockquote h1 h2 h3 h4 h5 h6".split())
 #: Labelled pages to learn from, and to choose the scale of the edges by.
-TRAIN_PAGES, SCALE_PAGES = 400, 150
+TRAIN_PAGES, SCALE_PAGES, PLAIN_PAGES = 400, 150, 40
 #: Scales of the smoothness edges that are tried.
 SCALES = (0.0, 0.25, 0.5, 1.0, 2.0, 4.0)
 
@@ -223,7 +223,8 @@ _SENTENCE = re.compile(r"[.!?…]")
 def features(blocks: list[Block]) -> np.ndarray:
     """One row of layout and form per block."""
     framed = any((b.home.article or b.home.main or b.home.named) and not (b.home.off_tag or b.home.off_name) for b in blocks)
-    out = np.zeros((len(blocks), 12))
+    plain = not any(b.linked or b.home.article or b.home.main or b.home.named or b.home.off_tag or b.home.off_name for b in blocks)
+    out = np.zeros((len(blocks), 13))
     for i, b in enumerate(blocks):
         e, words = b.home, b.text.count(" ") + 1
         inside = e.article or e.main or e.named > 0
@@ -241,6 +242,7 @@ def features(blocks: list[Block]) -> np.ndarray:
             np.log1p(min(words, 60)) * (not inside),
             bool(_SENTENCE.search(b.text)) * (not inside),
             e.tag in TEXT_TAGS and not inside,
+            plain,  # nothing on the page is marked or linked
         )
     return out
 
@@ -303,7 +305,7 @@ def learn(train: list[tuple[str, dict[str, bool]]], choose: list[tuple[str, dict
 
 @lru_cache(maxsize=1)
 def default_model() -> Model:
-    return learn(labelled_pages(TRAIN_PAGES, 1), labelled_pages(SCALE_PAGES, 2))
+    return learn(labelled_pages(TRAIN_PAGES, 1) + plain_pages(PLAIN_PAGES, 3), labelled_pages(SCALE_PAGES, 2))
 
 
 def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -380,7 +382,9 @@ def main_text(page: str | None, model: Model | None = None) -> str:
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages``; null html is
-    an empty page.  Nothing else is dropped or cut."""
+    an empty page.  Nothing else is dropped or cut: pages of any length are read whole,
+    repeated rows stay repeated, an empty table gives no rows, and columns other than
+    page_id, url and html are not read, so none clashes."""
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     model = model or default_model()
 

@@ -94,3 +94,15 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, dict[str, bool]]]:
         page = _Page(seed * 1_000_003 + i)
         out.append((page.page(), page.truth))
     return out
+
+
+def plain_pages(count: int, seed: int) -> list[tuple[str, dict[str, bool]]]:
+    """Pages that are an article and nothing else, from a few words on, unmarked."""
+    out = []
+    for i in range(count):
+        page = _Page(seed * 1_000_003 + i)
+        r = page.rng
+        head = page.block("h1", page.words(1, 6), True) if r.random() < 0.5 else ""
+        body = head + "".join(page.block(r.choice(("p", "p", "div")), page.words(1, r.choice((2, 8, 60)), r.choice((".", "", "!"))), True) for _ in range(r.randint(1, 4)))
+        out.append((f"<body>{body}</body>" if r.random() < 0.5 else body, page.truth))
+    return out

@@ -102,11 +102,18 @@ def test_main_text():
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav><a href=x>m</a></nav>") == ""
 
 
+def test_no_part_of_an_article_is_lost():
+    text = html_extract.main_text
+    assert text("<p>Short.</p>") == "Short." and text("One word") == "One word" and text("<body><h1>Title</h1><p>Ok</p></body>") == "Title\n\nOk"
+    page = "<nav><a href=/>Home</a></nav><article><h1>Head</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><div class='alert'><p>Mind the gap between both.</p></div></article>"
+    assert text(page) == "Head\n\nLet x=2 be.\n\nMind the gap between both."
+
+
 def test_learned_costs_and_what_the_cut_overrules():
-    from corrello.llm.page_examples import labelled_pages
+    from corrello.llm.page_examples import labelled_pages, plain_pages
 
     model = html_extract.default_model()
-    assert model == html_extract.learn(labelled_pages(html_extract.TRAIN_PAGES, 1), labelled_pages(html_extract.SCALE_PAGES, 2))
+    assert model == html_extract.learn(labelled_pages(html_extract.TRAIN_PAGES, 1) + plain_pages(html_extract.PLAIN_PAGES, 3), labelled_pages(html_extract.SCALE_PAGES, 2))
     blocks = by_sign = by_cut = overruled = 0
     for page, truth in labelled_pages(200, 9):  # pages that it has not seen
         own = html_extract.blocks_of(page)

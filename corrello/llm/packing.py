@@ -264,9 +264,10 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE, open_bins: int = OPEN_BINS,
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     tasks = max(1, -(-total // per_task))
     # Dealt by the row's number, not by its id: an id that many rows share, or
-    # none at all, still goes to every task.
+    # none at all, still goes to every task.  In the order of that number a task that is
+    # run again, after an executor was lost, packs as it did before.
     numbered = pieces.withColumn("_nth", F.monotonically_increasing_id())
-    dealt = numbered.repartition(int(tasks), F.xxhash64("_nth")).select(*columns)
+    dealt = numbered.repartition(int(tasks), F.xxhash64("_nth")).sortWithinPartitions("_nth").select(*columns)
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return dealt.mapInArrow(run, schema)
 

@@ -241,7 +241,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     component_id is the smallest doc_id whose fingerprint is reachable over
     links, the row's own included.  Texts without words share fingerprint zero.
     Rows with a null doc_id are classed like any other; a class of nulls only
-    has a null component_id.  Repeated rows stay repeated.
+    has a null component_id.  Repeated rows stay repeated, an empty table gives no rows,
+    and columns other than the two named are not read, so none clashes.
     """
     rows = _with_classes(keep(fingerprints(docs, id_col, text_col), "simhash-fps"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -254,15 +255,17 @@ def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the row with the smallest doc_id stays.
 
-    If rows of a class share that doc_id, the one with the least hash of its text
-    stays, then of all its columns: which row it is does not depend on how rows
-    are dealt.  Rows that share a doc_id but not a class are each judged in their
-    own.  Rows with a null doc_id cannot be named as a copy of another and stay.
-    """
+    Rows without a doc_id come behind all others of their class, so such a row stays
+    only where no row with an id is like it.  If rows of a class share the id, the one
+    with the least hash of its text stays, then of all its columns: which row it is does
+    not depend on how rows are dealt.  Rows that share a doc_id but not a class are each
+    judged in their own.  An empty table stays empty; rows keep all their columns."""
     mark = F.xxhash64("text").alias("mark")
-    rows = _with_classes(keep(fingerprints(docs.where("doc_id is not null"), "doc_id", "text", mark), "simhash-fps"))
-    stay = rows.groupBy("class_fp").agg(F.min(F.struct("doc_id", "mark")).alias("s")).select("s.*").distinct()
+    rows = _with_classes(keep(fingerprints(docs, "doc_id", "text", mark), "simhash-fps"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "mark")).alias("s")
+    stay = rows.groupBy("class_fp").agg(first).select(F.col("s.doc_id").alias("_id"), F.col("s.mark").alias("_mark")).distinct()
     carried = docs.select("doc_id", mark, F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
     nth = F.row_number().over(W.partitionBy("doc_id", "mark").orderBy(F.xxhash64("row")))
-    kept = carried.join(stay, ["doc_id", "mark"], "left_semi").withColumn("nth", nth).where("nth = 1")
-    return kept.select("row.*").union(docs.where("doc_id is null"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    kept = carried.join(stay, same, "left_semi").withColumn("nth", nth).where("nth = 1")
+    return kept.select("row.*")

@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corrello.functions import indicators, text
-from corrello.operators import enrichment, graph, pivots, state
+from corrello.operators import enrichment, graph, incremental, pivots, state
 from corrello.operators import evidence as ev
 from corrello.plans import clustering, report
 from corrello.plans.catalogue import _EDGES, _HOST, _edges, query
-from corrello.store import table
+from corrello.store import fresh_path, keep, table
 
 def _as_of():
     return F.lit("1998-09-01").cast("timestamp")
@@ -517,3 +517,46 @@ def cluster_identity(spark, sf_dir):
     old = old.select(cluster, status.alias("status"), F.lit(False).alias("is_new"), _as_of().alias("created_at"), _as_of().alias("updated_at"), "size")
     found, _ = state.persist_identity(members, orders.select(F.col("o_orderkey").alias("case_id"), cluster), old, _as_of())
     return found.select("cluster_id", "status", "is_new", "size")
+
+
+def _in_batches(rows, key, times=3):
+    """All rows in batches by an id: most of them, then two small ones."""
+    part = F.col(key) % 20
+    return [rows.where(part < 18), rows.where(part == 18), rows.where((part == 19) | (part == 0))][:times]
+
+
+@query(
+    "incremental_observables",
+    "SELECT CASE WHEN l_returnflag = 'R' THEN 'domain' ELSE 'ip' END AS type, CAST(l_partkey AS VARCHAR) AS value, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen, count(DISTINCT l_orderkey) AS case_count "
+    "FROM lineitem GROUP BY 1, 2",
+)
+def incremental_observables(spark, sf_dir):
+    """Sightings kept up over batches, one of which brings known edges again."""
+    flag = F.when(F.col("l_returnflag") == "R", "domain").otherwise("ip")
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), flag.alias("type"), _str("l_partkey").alias("value"), F.col("l_shipdate").cast("timestamp").alias("seen_at"))
+    tables = incremental.EdgeTables(spark, fresh_path(spark, "inc-tables"), 32, "bigint")
+    for batch in _in_batches(edges, "case_id"):
+        tables.apply(batch)
+    return tables.observables()
+
+
+@query(
+    "incremental_classes",
+    """WITH RECURSIVE s AS (SELECT o_orderkey AS a, min(o_orderkey) OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE)) AS b, min(o_orderkey) OVER (PARTITION BY o_custkey % 400, year(o_orderdate)) AS c FROM orders),
+n AS (SELECT a, b FROM s UNION SELECT b, a FROM s UNION SELECT a, c FROM s UNION SELECT c, a FROM s),
+r(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM n
+  UNION (SELECT DISTINCT ON (u.node) u.node, v.root FROM recurring.r u JOIN n ON n.a = u.node JOIN r v ON v.node = n.b WHERE v.root < u.root ORDER BY u.node, v.root))
+SELECT node, root AS component FROM r""",
+)
+def incremental_classes(spark, sf_dir):
+    """Components kept up over batches of links: orders of one customer and day, and of
+    a group of customers and year."""
+    orders = table(spark, sf_dir, "orders")
+    day = orders.groupBy("o_custkey", F.to_date("o_orderdate").alias("d")).agg(F.min("o_orderkey").alias("b"))
+    year = orders.groupBy((F.col("o_custkey") % 400).alias("g"), F.year("o_orderdate").alias("y")).agg(F.min("o_orderkey").alias("b"))
+    own = orders.select(F.col("o_orderkey").alias("a"), "o_custkey", F.to_date("o_orderdate").alias("d"), (F.col("o_custkey") % 400).alias("g"), F.year("o_orderdate").alias("y"))
+    links = keep(own.join(day, ["o_custkey", "d"]).select("a", "b").union(own.join(year, ["g", "y"]).select("a", "b")), "inc-orders")
+    classes = incremental.Classes(spark, fresh_path(spark, "inc-classes"), 32, "bigint")
+    for batch in _in_batches(links, "a"):
+        classes.link(batch)
+    return classes.components()

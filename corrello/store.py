@@ -71,3 +71,9 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def touch(spark: SparkSession, path: str) -> None:
     hadoop, store = _path(spark, path)
     store.create(hadoop, True).close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table, if it is there."""
+    hadoop, store = _path(spark, path)
+    store.delete(hadoop, True)

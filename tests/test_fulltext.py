@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from corrello.functions.porter import normal, stem
@@ -44,6 +45,7 @@ def scan(rows, query_words, fits):
 
 @pytest.fixture(scope="module")
 def corpus(spark):
+    fulltext.BLOCK = 500  # many blocks
     rng = random.Random(4)
     words = "run running runs fee fees training trained period telegram code coding challenge of the Wallet été".split()
     rows = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 5))), " ".join(rng.choices(words, k=rng.randrange(0, 60)))) for i in range(150)]
@@ -90,9 +92,19 @@ def test_scores_and_order(corpus):
 
 def test_a_query_reads_no_text_and_only_its_buckets(corpus):
     _, index = corpus
-    plan = index.postings(["run"])._jdf.queryExecution().toString()
+    plan = index.lists(["run"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
-    assert "ReadSchema: struct<term:string,row:bigint,id:bigint,length:int,positions:array<int>>" in plan
+    assert "ReadSchema: struct<block:bigint,term:string,list:binary>" in plan
+    met = fulltext.matches(index, '"of the" NOT run')._jdf.queryExecution().toString()
+    assert "title" not in met and "body" not in met
+
+
+def test_lists_are_packed_and_unpacked():
+    rng = np.random.default_rng(1)
+    for top in (1, 100, 1 << 14, 1 << 21, (1 << 32) - 1):
+        values = rng.integers(0, top + 1, 200)
+        assert (fulltext._unpack(fulltext._pack(values)[0].tobytes()) == values).all()
+    assert len(fulltext._unpack(b"")) == 0
 
 
 def test_snippets(corpus, spark):

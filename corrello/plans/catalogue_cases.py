@@ -9,7 +9,7 @@ from corrello.functions import indicators, text
 from corrello.operators import enrichment, graph, incremental, pivots, state
 from corrello.operators import evidence as ev
 from corrello.plans import clustering, report
-from corrello.plans.catalogue import _EDGES, _HOST, _edges, query
+from corrello.plans.catalogue import _EDGES, _HOST, _PAIRS, _edges, query
 from corrello.store import fresh_path, keep, table
 
 def _as_of():
@@ -560,3 +560,47 @@ def incremental_classes(spark, sf_dir):
     for batch in _in_batches(links, "a"):
         classes.link(batch)
     return classes.components()
+
+
+@query(
+    "clusters_end_to_end",
+    f"""WITH RECURSIVE {_PAIRS},
+raw AS (SELECT DISTINCT doc_id AS c, CASE l_linenumber WHEN 1 THEN 'domain' WHEN 2 THEN 'email' WHEN 3 THEN 'ip' ELSE 'nameserver' END AS type,
+  CAST(l_partkey % CASE l_linenumber WHEN 1 THEN 900 WHEN 2 THEN 1200 WHEN 3 THEN 300 ELSE 200 END AS VARCHAR) AS value FROM documents JOIN lineitem ON l_orderkey = doc_id),
+fit AS (SELECT type, value FROM raw GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 6), hub AS (SELECT type, value FROM raw GROUP BY 1, 2 HAVING count(*) > 6),
+sh AS (SELECT a.c AS a, b.c AS b, list_distinct(list(type)) AS kinds FROM raw a JOIN raw b USING (type, value) JOIN fit USING (type, value) WHERE a.c < b.c GROUP BY 1, 2),
+gr AS (SELECT a, b, coalesce(kinds, []) AS kinds, coalesce(round(j, 3), 0) AS sim FROM sh FULL JOIN p USING (a, b)),
+held AS (SELECT *, list_has_any(kinds, ['domain', 'email']) AS hard, list_has_any(kinds, ['ip', 'nameserver']) AS weak FROM gr WHERE sim > 0 OR list_has_any(kinds, ['domain', 'email']) OR list_has_all(kinds, ['ip', 'nameserver'])),
+n2 AS (SELECT a, b FROM held UNION SELECT b, a FROM held),
+r(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM n2
+  UNION (SELECT DISTINCT ON (u.node) u.node, v.root FROM recurring.r u JOIN n2 ON n2.a = u.node JOIN r v ON v.node = n2.b WHERE v.root < u.root ORDER BY u.node, v.root)),
+m AS (SELECT node AS c, root AS component FROM r),
+cnt AS (SELECT component, count_if(hard) AS hard_pairs, count_if(sim > 0) AS sim_pairs, count_if(weak) AS weak_pairs, max(sim) AS top FROM held JOIN m ON m.c = held.a GROUP BY 1),
+ev AS (SELECT component, CASE type WHEN 'email' THEN 3 WHEN 'domain' THEN 2 ELSE 1 END AS r, CASE type WHEN 'ip' THEN 'site' || CAST(value AS INTEGER) % 50 ELSE value END AS grp
+  FROM raw JOIN m USING (c) WHERE (type, value) NOT IN (SELECT (type, value) FROM hub) GROUP BY component, type, value HAVING count(*) >= 2
+  UNION ALL SELECT component, 2, 'wording' FROM cnt WHERE sim_pairs > 0),
+best AS (SELECT component, grp, max(r) AS r FROM ev GROUP BY 1, 2),
+lad AS (SELECT component, count_if(r = 3) AS high, count_if(r = 2) AS medium, count_if(r = 1) AS low FROM best GROUP BY 1),
+sz AS (SELECT component, count(*) AS size, count(DISTINCT source) = 1 AND count(*) > 1 AS single FROM m JOIN documents ON doc_id = c GROUP BY 1),
+z AS (SELECT *, CASE WHEN high >= 2 OR (high >= 1 AND medium >= 2) THEN 'strongly_clustered' WHEN high >= 1 OR medium >= 2 THEN 'probable' ELSE 'possible' END AS lvl FROM lad)
+SELECT component, size, CASE WHEN single THEN 'possible' ELSE lvl END AS confidence,
+  high || ' independent high-specificity, ' || medium || ' medium, ' || low || ' low' || CASE WHEN single AND lvl <> 'possible' THEN '; capped: single reporter' ELSE '' END AS confidence_basis,
+  hard_pairs, sim_pairs, weak_pairs, CASE WHEN sim_pairs > 0 THEN sim_pairs || ' similar pair(s), max jaccard ' || printf('%.2f', top + 0.0001) END AS wording, (SELECT count(*) FROM ev WHERE ev.component = z.component) AS n_evidence
+FROM z JOIN sz USING (component) JOIN cnt USING (component)""",
+)
+def clusters_end_to_end(spark, sf_dir):
+    """Documents as cases, the lines of the order with their number as what they refer
+    to: hubs, wording, parents and groups counted by classes all take part."""
+    docs, lines = table(spark, sf_dir, "documents"), table(spark, sf_dir, "lineitem")
+    cases = docs.select(F.col("doc_id").alias("case_id"), "source", F.col("source").alias("author"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(None).cast("string").alias("lure_type"), F.array("text").alias("lure_text"))
+    by_line = [("domain", 900), ("email", 1200), ("ip", 300), ("nameserver", 200)]
+    which = F.least("l_linenumber", F.lit(4)).cast("int")
+    kind, top = (F.element_at(F.lit([x[i] for x in by_line]), which) for i in (0, 1))
+    edges = lines.join(docs.select("doc_id"), F.col("l_orderkey") == F.col("doc_id")).select(F.col("doc_id").alias("case_id"), kind.alias("type"), (F.col("l_partkey") % top).cast("string").alias("value"))
+    hosts = edges.where("type = 'ip'").select("value").distinct()
+    relations = hosts.select(F.lit("domain").alias("src_type"), F.concat(F.lit("site"), F.col("value").cast("int") % 50).alias("src_value"), F.lit("resolves-to").alias("predicate"), F.lit("ip").alias("dst_type"), F.col("value").alias("dst_value"))
+    config = {"text_similarity_threshold": 0.3, "hub_absolute": 6, "hub_fraction": 0.0}
+    got = clustering.build_clusters(cases, edges, relations, config=config, dense=2)
+    worded = F.try_element_at(F.filter("evidence", lambda e: e["feature"] == "wording_similarity"), F.lit(1))["value"]
+    counts = [F.col(f"edge_counts.{c}").alias(c) for c in ("hard_pairs", "sim_pairs", "weak_pairs")]
+    return got.summaries.select("component", "size", "confidence", "confidence_basis", *counts, worded.alias("wording"), F.size("evidence").cast("long").alias("n_evidence"))

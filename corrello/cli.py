@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from corrello.operators import enrichment, fulltext, pivots, state
 from corrello.plans.cases import CaseTables, build_cases
 from corrello.plans.clustering import build_clusters
-from corrello.plans.report import case_bundle, counts_by, leads, render, with_state
+from corrello.plans.report import case_bundle, counts_by, leads, member_lines, render, with_state
 from corrello.sources import readers
 from corrello.store import children, exists, keep, touch
 from corrello.streaming.cycle import take_in
@@ -164,6 +164,7 @@ def _parser() -> argparse.ArgumentParser:
     shown.add_argument("--limit", type=int, default=20)
     shown.add_argument("--new", action="store_true")
     shown.add_argument("--out")
+    shown.add_argument("--members", default="50", help="members listed of a cluster, or all; with all and --out they go to a folder beside it")
     shown.add_argument("--ack", action="store_true")
     sub.add_parser("leads").add_argument("--limit", type=int, default=20)
     sub.add_parser("pivots").add_argument("--limit", type=int, default=50)
@@ -239,7 +240,12 @@ def main(argv: list[str] | None = None) -> str:
     summaries = with_state(got.summaries, got.members, clusters, members)
     if args.verb == "run":
         return render(summaries, built.cases, got.members, lead, new_only=True)
-    out = render(summaries, built.cases, got.members, lead, args.format, args.min_confidence, args.limit, args.new)
+    aside = args.members == "all" and args.out
+    most = None if args.members == "all" and not args.out else 50 if aside else int(args.members)
+    out = render(summaries, built.cases, got.members, lead, args.format, args.min_confidence, args.limit, args.new, most)
+    if aside:
+        lines = member_lines(built.cases, got.members).sort("component", "published_at", "case_id")
+        lines.select("component", "line").write.mode("overwrite").partitionBy("component").text(f"{args.out}.members")
     if args.out:
         Path(args.out).write_text(out, encoding="utf-8")
     if args.ack:

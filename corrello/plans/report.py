@@ -67,7 +67,8 @@ def evidence_text(summary: Row) -> str:
 # ---- Fixed values: what readers and scripts look for in a report.
 HEADING, LEADS_HEADING = "CANDIDATE CLUSTER", "LEADS OUTSIDE CLUSTERS"
 # ---- end of fixed values
-#: Members of one cluster that a report lists; the rest is counted.
+#: Members of one cluster that a report lists on the driver unless told otherwise; the
+#: rest is counted, and ``member_lines`` gives the lines of all as a table.
 MOST_MEMBERS = 50
 
 
@@ -117,6 +118,16 @@ def _evidence_rows(shown: Shown, most: int = 12, named: int = 4) -> list[str]:
     return out
 
 
+def member_lines(cases: DataFrame, members: DataFrame) -> DataFrame:
+    """``(component, published_at, case_id, line)``: what a report says of each member, for
+    clusters of any size; written by the executors."""
+    rows = members.join(cases.select("case_id", "published_at", "source", "title", "url"), "case_id")
+    day = F.coalesce(F.date_format("published_at", "yyyy-MM-dd"), F.lit("no date"))
+    told = F.concat_ws(" | ", F.col("case_id").cast("string"), day, F.col("source"), F.left(F.coalesce("title", F.lit("")), F.lit(70)))
+    line = F.concat(told, F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("\n    "), "url")).otherwise(""))
+    return rows.select("component", "published_at", "case_id", line.alias("line"))
+
+
 def _case_rows(shown: Shown) -> list[str]:
     out = []
     for c in shown.cases:
@@ -180,12 +191,13 @@ def with_state(summaries: DataFrame, members: DataFrame, clusters: DataFrame, cl
     return summaries.join(named.join(known, "cluster_id"), "component", "left")
 
 
-def render(summaries: DataFrame, cases: DataFrame, members: DataFrame, lead_rows: DataFrame | None = None, fmt: str = "text", min_confidence: str = "possible", limit: int = 20, new_only: bool = False) -> str:
+def render(summaries: DataFrame, cases: DataFrame, members: DataFrame, lead_rows: DataFrame | None = None, fmt: str = "text", min_confidence: str = "possible", limit: int = 20, new_only: bool = False, most_members: int | None = MOST_MEMBERS) -> str:
     """The report of the first ``limit`` clusters; json leaves the leads out.
 
     Summaries that went through ``with_state`` are named by cluster id, others by
     component and count as new.  What comes to the driver is bounded: ``limit``
-    summaries and MOST_MEMBERS members of each."""
+    summaries and ``most_members`` members of each (None: all of them, which are then as
+    many as the largest clusters have; ``member_lines`` is the way for very large ones)."""
     rows = at_least(summaries, min_confidence)
     if new_only and "is_new" in rows.columns:
         rows = rows.where(F.coalesce("is_new", F.lit(True)))
@@ -195,7 +207,8 @@ def render(summaries: DataFrame, cases: DataFrame, members: DataFrame, lead_rows
     own: dict = {}
     picked = cluster_bundle(cases, members.where(F.col("component").isin([r["component"] for r in chosen]))).drop("lure_text", "excerpt", "stages")
     place = F.row_number().over(W.partitionBy("component").orderBy("published_at", "case_id"))
-    for row in picked.withColumn("_nth", place).where(F.col("_nth") <= MOST_MEMBERS).orderBy("component", "_nth").collect():
+    picked = picked.withColumn("_nth", place)
+    for row in (picked if most_members is None else picked.where(F.col("_nth") <= most_members)).orderBy("component", "_nth").collect():
         own.setdefault(row["component"], []).append(row.asDict(True))
     blocks = []
     for r in chosen:

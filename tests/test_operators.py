@@ -231,3 +231,33 @@ def test_a_long_chain_of_claims_settles(spark):
     rows = [(f"k{i:02d}", 100 - i, f"CLU-{j:04d}", 2, 9 - (j != i - 1)) for i in range(12) for j in (i - 1, i) if j >= 0]
     df = spark.createDataFrame(rows, "component string, size long, cluster_id string, cluster_size long, shared long")
     assert {r["component"]: r["cluster_id"] for r in state.claims(df).collect()} == {f"k{i:02d}": f"CLU-{i:04d}" for i in range(12)}
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string", "date"])
+def test_embedding_pairs_of_any_ids_and_lengths(spark, kind):
+    rng = random.Random(5)
+    base = [[rng.gauss(0, 1) for _ in range(48)] for _ in range(6)]
+    rows = [(i, [x + rng.gauss(0, 0.4) for x in base[i % 6]]) for i in range(90)] + [(100 + i, [1.0, float(i)]) for i in range(5)]
+    rows += [(200, None), (201, []), (202, [0.0] * 48), (203, [float("nan")] * 48), (204, [None] * 48), (205, [float("inf"), 1.0]), (None, base[0]), (3, rows[9][1])]
+    df = spark.createDataFrame(rows, "n int, v array<double>").withColumn("a", F.lit("clash"))
+    name = {"int": "n", "bigint": "cast(n as bigint)", "string": "format_string('%03d', n)", "date": "date_add(date'2024-01-01', n)"}[kind]
+    name = f"if(n is null, null, {name})"
+    df = df.withColumn("id", F.expr(name))
+    back = {r["id"]: r["n"] for r in df.where("n is not null").select("id", "n").collect()}
+    sound = [(i, v) for i, v in rows if i is not None and v and all(x is not None and abs(x) < 1e300 for x in v) and any(v)]
+    want = set()
+    for (i, v), (j, w) in combinations(sound, 2):
+        if i != j and len(v) == len(w):
+            cos = sum(x * y for x, y in zip(v, w, strict=True)) / (sum(x * x for x in v) ** 0.5 * sum(x * x for x in w) ** 0.5)
+            if cos >= 0.7:
+                want.add((min(i, j), max(i, j), round(cos, 9)))
+    got = similarity.embedding_pairs(df, "id", "v", 0.7, block=16).collect()
+    assert {(back[r["a"]], back[r["b"]], round(r["cosine"], 9)) for r in got} == want and len(want) > 200
+    assert similarity.embedding_pairs(df.where("1 = 0"), "id", "v", 0.7).count() == 0
+
+
+def test_bounds_spare_most_of_far_pairs(spark):
+    rng = random.Random(6)
+    heavy = lambda: [rng.gauss(0, 1) * 0.85**k for k in range(64)]  # noqa: E731  a few components hold most of the norm
+    df = spark.createDataFrame([(i, heavy()) for i in range(300)], "id int, v array<double>")
+    assert similarity.embedding_work(df, "id", "v", 0.9) < 0.2

@@ -4,7 +4,9 @@ A post repeats an earlier one that is no repeat itself if both are by the same
 named author, at most seven days apart, and have the same title, or the same
 body of more than 200 characters.  The rule depends on order (fetched_at, id),
 so it is a fold.  Only posts with an equal title or body can match, found by
-their keys: what hangs together by them is the unit of parallelism.
+their keys, and only within seven days: what hangs together by keys is cut where two
+posts that follow each other in time are further apart.  These sessions are the unit
+of parallelism.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from corrello.functions.text import squeeze, title_key
 from corrello.operators.components import connected_components
@@ -39,17 +42,33 @@ def keyed(items: DataFrame) -> DataFrame:
 
 def repeat_pairs(items: DataFrame) -> DataFrame:
     """``(id, earlier)``: every earlier post that would make ``id`` a repeat,
-    whether or not that post is one itself.  An equi-join on author and key."""
+    whether or not that post is one itself.  An equi-join on author, key and week: each
+    post meets those of its own week and of the weeks beside it."""
     rows = keyed(items).where("author_key is not null and published_at is not null")
     keys = F.explode(F.array_compact(F.array(F.concat(F.lit("t"), "title_key"), F.concat(F.lit("b"), "body_key"))))
     each = rows.select("id", "author_key", "fetched_at", F.unix_timestamp("published_at").alias("at"), keys.alias("key"))
-    a, b = each.alias("a"), each.alias("b")
+    week = F.floor(F.col("at") / WEEK)
+    a = each.withColumn("week", week).alias("a")
+    b = each.withColumn("week", F.explode(F.sequence(week - 1, week + 1))).alias("b")
     later = F.struct("a.fetched_at", "a.id") > F.struct("b.fetched_at", "b.id")
     near = F.abs(F.col("a.at") - F.col("b.at")) <= WEEK
-    same = (F.col("a.author_key") == F.col("b.author_key")) & (F.col("a.key") == F.col("b.key"))
+    same = (F.col("a.author_key") == F.col("b.author_key")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.week") == F.col("b.week"))
     return a.join(b, same & later & near).select(F.col("a.id").alias("id"), F.col("b.id").alias("earlier")).distinct()
 
 
+def sessions(rows: DataFrame, group: str, at: str) -> DataFrame:
+    """Add ``session`` to rows of groups: it changes where two rows of a group that follow
+    each other in ``at`` (seconds, not null) are more than seven days apart.
+
+    Rows of one week are never cut, so only first and last times of weeks are put in order."""
+    week = F.floor(F.col(at) / WEEK).alias("_week")
+    weeks = rows.groupBy(group, week).agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    order = W.partitionBy(group).orderBy("_week")
+    cut = F.coalesce(F.col("low") - F.lag("high").over(order) > WEEK, F.lit(False)).cast("int")
+    weeks = weeks.withColumn("_cut", cut).select(group, "_week", F.sum("_cut").over(order).alias("session"))
+    return rows.withColumn("_week", week).join(weeks, [group, "_week"]).drop("_week")
+
+
 class Fold:
     """The order-dependent rule for one author: ``add`` returns the anchor that a
     post repeats, or None, in which case the post becomes an anchor itself."""
@@ -73,9 +92,10 @@ def fold_repeats(items: DataFrame) -> DataFrame:
 
     Items without a named author, and those that share no key with another of
     their author, never enter the fold.  A missing date is taken as fetched_at.
-    The unit of the fold is a group: posts of an author that hang together by
-    equal titles or bodies, so an author of very many posts is many groups.  A
-    group streams through one task sorted in time, with memory for its anchors."""
+    The unit of the fold is a session of a group: posts of an author that hang together
+    by equal titles or bodies, with no more than seven days between one and the next, so an
+    author of very many posts is many units.  A session streams through one task in the
+    order of the fold, with memory for its anchors.  A post without any date repeats none."""
     rows = keyed(items).withColumn("at", F.unix_timestamp(F.coalesce("published_at", "fetched_at")).cast("double"))
     key = lambda kind: F.when(F.col("author_key").isNotNull(), F.concat("author_key", F.lit(f"\0{kind[0]}"), kind))
     each = keep(rows.select("id", "fetched_at", "at", key("title_key").alias("t"), key("body_key").alias("b")), "fold-keys")
@@ -89,16 +109,18 @@ def fold_repeats(items: DataFrame) -> DataFrame:
         told = told.join(named, "group", "left").withColumn("group", F.coalesce("component", "group"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, fold = None, Fold()
+        unit, fold = None, Fold()
         for pdf in batches:
             found = []
             for row in pdf.itertuples(index=False):
-                if row.group != group:
-                    group, fold = row.group, Fold()
+                if (row.group, row.session) != unit:
+                    unit, fold = (row.group, row.session), Fold()
                 found.append(fold.add(row.id, row.at, [k for k in (row.t, row.b) if isinstance(k, str)]))
             yield pd.DataFrame({"id": pdf["id"], "dup_of": pd.Series(found, dtype=object)})
 
     kind = items.schema["id"].dataType.simpleString()
-    dealt = told.where("group is not null").select("group", "fetched_at", "id", "at", "t", "b").repartition("group").sortWithinPartitions("group", "fetched_at", "id")
+    inside = F.col("group").isNotNull() & F.col("at").isNotNull()
+    units = sessions(told.where(inside).select("group", "fetched_at", "id", "at", "t", "b"), "group", "at").select("group", "session", "fetched_at", "id", "at", "t", "b")
+    dealt = units.repartition("group", "session").sortWithinPartitions("group", "session", "fetched_at", "id")
     folded = dealt.mapInPandas(run, f"id {kind}, dup_of {kind}")
-    return folded.union(told.where("group is null").select("id", F.lit(None).cast(kind).alias("dup_of")))
+    return folded.union(told.where(~inside).select("id", F.lit(None).cast(kind).alias("dup_of")))

@@ -261,3 +261,22 @@ def test_bounds_spare_most_of_far_pairs(spark):
     heavy = lambda: [rng.gauss(0, 1) * 0.85**k for k in range(64)]  # noqa: E731  a few components hold most of the norm
     df = spark.createDataFrame([(i, heavy()) for i in range(300)], "id int, v array<double>")
     assert similarity.embedding_work(df, "id", "v", 0.9) < 0.2
+
+
+def test_an_author_of_many_years_is_many_units(spark):
+    start, day = datetime(2020, 1, 1), 86_400
+    rng = random.Random(7)
+    when = sorted(rng.randrange(0, 900) * day + rng.choice((0, 1, day - 1)) for _ in range(120)) + [3000 * day, 3007 * day, 3014 * day + 1]
+    rows = [(f"i{i:03d}", "firehose", "the same", "", start + timedelta(seconds=s), start + timedelta(days=4000, seconds=i)) for i, s in enumerate(rng.sample(when, len(when)))]
+    rows.append(("void", "firehose", "the same", "", None, None))
+    df = spark.createDataFrame(rows, "id string, author string, title string, body string, published_at timestamp, fetched_at timestamp")
+    fold, want = dedup.Fold(), {"void": None}
+    for r in rows[:-1]:
+        want[r[0]] = fold.add(r[0], r[4].timestamp(), ["t"])
+    assert {r["id"]: r["dup_of"] for r in dedup.fold_repeats(df).collect()} == want
+    units = dedup.sessions(df.where("id <> 'void'").select("author", F.unix_timestamp("published_at").alias("at")), "author", "at")
+    times = sorted(r[4].timestamp() for r in rows[:-1])
+    assert units.select("session").distinct().count() == 1 + sum(b - a > 7 * day for a, b in zip(times, times[1:], strict=False)) > 20
+    pairs = {(r["id"], r["earlier"]) for r in dedup.repeat_pairs(df).collect()}
+    at = {r[0]: r[4].timestamp() for r in rows[:-1]}
+    assert pairs == {(b, a) for a, b in combinations([r[0] for r in rows[:-1]], 2) if abs(at[a] - at[b]) <= 7 * day}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corrello.functions import html, indicators, scoring, text
-from corrello.operators import dedup, evidence, fulltext, graph, pivots, search, similarity, state
+from corrello.operators import dedup, evidence, fulltext, graph, overlap, pivots, search, similarity, state
 from corrello.operators.components import connected_components
 from corrello.store import fresh_path, table
 from corrello.streaming import fold
@@ -126,15 +126,7 @@ SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS shared FROM ds JOIN bs USI
 )
 def contamination_join(spark, sf_dir):
     """8-word shingles that documents share with benchmark items."""
-
-    def grams(df, id_col):
-        w = F.split(F.trim(F.regexp_replace(F.lower("text"), r"(?U)[\s\p{P}]+", " ")), " ")
-        rows = text.once(df.select(id_col, "text"), {"w": w}).where(F.size("w") >= 8)
-        each = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))
-        return rows.select(id_col, F.explode_outer(F.array_distinct(each)).alias("s"))
-
-    both = grams(table(spark, sf_dir, "documents"), "doc_id").join(grams(table(spark, sf_dir, "benchmark"), "item_id"), "s")
-    return both.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+    return overlap.shared_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 # ---------------------------------------------------------------- indicators

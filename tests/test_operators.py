@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from corrello.operators import dedup, enrichment, evidence, graph, pivots, search, similarity, state
+from corrello.operators import dedup, enrichment, evidence, graph, overlap, pivots, search, similarity, state
 from corrello.operators.components import connected_components
 
 
@@ -280,3 +280,20 @@ def test_an_author_of_many_years_is_many_units(spark):
     pairs = {(r["id"], r["earlier"]) for r in dedup.repeat_pairs(df).collect()}
     at = {r[0]: r[4].timestamp() for r in rows[:-1]}
     assert pairs == {(b, a) for a, b in combinations([r[0] for r in rows[:-1]], 2) if abs(at[a] - at[b]) <= 7 * day}
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_shared_windows(spark, most):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice((" ", "!  ", ", ")).strip() for _ in range(n))
+    items = [(f"b{i}", prose(30)) for i in range(6)] + [("short", "a b"), ("void", None)]
+    docs = [(i, prose(20) + " " + rng.choice(items[:6])[1][: rng.randrange(60)]) for i in range(40)] + [(7, items[0][1]), (90, None), (91, ""), (92, "a " * 5000)]
+    words = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    windows = lambda t: {tuple(words(t)[i : i + 4]) for i in range(len(words(t)) - 3)}
+    of_doc, of_item = {}, {i: windows(t) for i, t in items}
+    for i, t in docs:
+        of_doc[i] = of_doc.get(i, set()) | windows(t)
+    want = {(d, b, len(x & y)) for d, x in of_doc.items() for b, y in of_item.items() if x & y}
+    left = spark.createDataFrame(docs, "doc_id int, text string").withColumn("w", F.lit("clash"))
+    got = overlap.shared_windows(left, spark.createDataFrame(items, "item_id string, text string"), "doc_id", "item_id", size=4, most=most)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 40

@@ -4,26 +4,31 @@ Tables live as Parquet below the home folder, which may be in any store that
 Spark reads: ``raw`` (items), ``runs`` (what each collection brought),
 ``lookups`` (captured answers of providers) and ``searches`` (follow-up queries
 that were run) only grow; ``state`` holds one folder per version of the clusters,
-of which the newest complete one counts.  Everything else is recomputed from
-them, so processing again, or after a change of the profile, is any later verb.
+of which the newest complete one counts.  ``derived`` holds what was made of the
+items, one folder per profile and batch: a verb makes cases of the items that are
+pending, those no batch has, and reads the rest; a changed profile starts anew, and
+reprocess does so with the same one.  A batch without its list of items, which is
+written last, does not count and is written again.
 """
 
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from corrello.operators import enrichment, fulltext, pivots, state
-from corrello.plans.cases import CaseTables, build_cases
+from corrello.plans.cases import CaseTables, build_cases, with_notes
 from corrello.plans.clustering import build_clusters
 from corrello.plans.report import case_bundle, counts_by, leads, member_lines, render, with_state
 from corrello.sources import readers
-from corrello.store import children, exists, keep, touch
+from corrello.store import children, exists, keep, remove, touch
 from corrello.streaming.cycle import take_in
 
 _CLUSTERS = "cluster_id string, status string, is_new boolean, created_at timestamp, updated_at timestamp, size int, lineage string, note string"
@@ -35,6 +40,8 @@ LOGS = {
     "lookups": "type string, value string, provider string, fetched_at timestamp, ok boolean, payload string",
     "searches": "term string, kind string, generation int, status string, hits long, error string, run_at timestamp",
 }
+#: What is made of a batch of items.
+DERIVED = ("cases", "repeats", "edges", "relationships", "queries", "anchors")
 #: Follow-up queries lead to items of the next generation, up to this one.
 MOST_GENERATIONS = 2
 
@@ -61,9 +68,45 @@ class Home:
             if not exists(self.spark, f"{self.folder}/{name}"):
                 self.append(name, self.spark.createDataFrame([], schema))
 
+    def _derived(self) -> str:
+        told = json.dumps(self.profile, sort_keys=True, default=str)
+        return f"{self.folder}/derived/{hashlib.sha256(told.encode()).hexdigest()[:16]}"
+
+    def process(self) -> int:
+        """Make cases of the pending items, as one more batch; returns how many these were."""
+        path = self._derived()
+        batch = len(children(self.spark, f"{path}/items"))
+        done = self.spark.read.schema("id string, batch int").parquet(f"{path}/items") if batch else None
+        pending = self.log("raw") if done is None else self.log("raw").join(done.select("id"), "id", "left_anti")
+        pending = keep(pending, "pending")
+        if pending.isEmpty() and batch:
+            return 0
+        before = self._read("anchors", batch) if batch else None
+        made = build_cases(pending, self.profile, float(self.profile.get("threshold", 0.5)), anchors=before)
+        for name in DERIVED:
+            rows = getattr(made, name)
+            (rows.drop("notes") if name == "cases" else rows).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+        pending.select("id").write.mode("overwrite").parquet(f"{path}/items/batch={batch}")
+        return pending.count()
+
+    def _read(self, name: str, batches: int) -> DataFrame:
+        path = f"{self._derived()}/{name}"
+        schema = self.spark.read.parquet(f"{path}/batch=0").schema  # an empty batch has files too
+        return self.spark.read.schema(schema.add("batch", IntegerType())).parquet(path).where(F.col("batch") < batches).drop("batch")
+
+    def reprocess(self) -> int:
+        """Make the cases of all items again."""
+        remove(self.spark, self._derived())
+        return self.process()
+
     def built(self, now: Column) -> CaseTables:
         """Cases of all items, with the edges that captured lookups add."""
-        found = build_cases(self.log("raw"), self.profile, float(self.profile.get("threshold", 0.5)))
+        self.process()
+        count = len(children(self.spark, f"{self._derived()}/items"))
+        tables = {name: self._read(name, count) for name in DERIVED}
+        tables["cases"] = with_notes(tables["cases"], tables["repeats"])
+        tables["relationships"] = tables["relationships"].distinct()
+        found = CaseTables(**tables)
         more, facts = enrichment.derived(found.edges, self.log("lookups"), now, bool(self.profile.get("link_registrar")))
         edges = found.edges.unionByName(more.withColumn("context", F.lit(None).cast("string")))
         return CaseTables(found.cases, found.repeats, keep(edges, "cli-edges"), found.relationships.union(facts).distinct(), found.queries)
@@ -211,6 +254,8 @@ def main(argv: list[str] | None = None) -> str:
         return "\n".join(_run_pivots(home, json.loads(Path(args.captures).read_text()), now, args.limit))
     if args.verb == "run":
         _collect(home, json.loads(Path(args.config).read_text()), now)
+    if args.verb == "reprocess":
+        home.reprocess()
     built = home.built(now)
     if args.verb in ("stats", "reprocess"):
         by = {c: [tuple(r) for r in counts_by(df, c).collect()] for df, c in ((home.log("raw"), "source"), (built.edges, "type"))}

@@ -77,8 +77,9 @@ class Fold:
         self.anchors: dict[str, list[tuple[float, int, str]]] = {}
         self.count = 0
 
-    def add(self, ident: str, at: float, keys: list[str]) -> str | None:
-        near = [x for k in keys for x in self.anchors.get(k, ()) if abs(x[0] - at) <= WEEK]
+    def add(self, ident: str, at: float, keys: list[str], stays: bool = False) -> str | None:
+        """``stays``: the post was judged before and is an anchor."""
+        near = [] if stays else [x for k in keys for x in self.anchors.get(k, ()) if abs(x[0] - at) <= WEEK]
         if near:
             return min(near, key=lambda x: x[1])[2]
         for k in keys:
@@ -87,7 +88,15 @@ class Fold:
         return None
 
 
-def fold_repeats(items: DataFrame) -> DataFrame:
+def fold_keys(items: DataFrame) -> DataFrame:
+    """``(id, fetched_at, at, t, b)``: what the fold knows of a post, t and b being what it
+    has in common with its author's posts of one title or body."""
+    rows = keyed(items).withColumn("at", F.unix_timestamp(F.coalesce("published_at", "fetched_at")).cast("double"))
+    key = lambda kind: F.when(F.col("author_key").isNotNull(), F.concat("author_key", F.lit(f"\0{kind[0]}"), kind))
+    return rows.select("id", "fetched_at", "at", key("title_key").alias("t"), key("body_key").alias("b"))
+
+
+def fold_repeats(items: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """``(id, dup_of)`` for every item; dup_of is null for posts that stay.
 
     Items without a named author, and those that share no key with another of
@@ -95,10 +104,14 @@ def fold_repeats(items: DataFrame) -> DataFrame:
     The unit of the fold is a session of a group: posts of an author that hang together
     by equal titles or bodies, with no more than seven days between one and the next, so an
     author of very many posts is many units.  A session streams through one task in the
-    order of the fold, with memory for its anchors.  A post without any date repeats none."""
-    rows = keyed(items).withColumn("at", F.unix_timestamp(F.coalesce("published_at", "fetched_at")).cast("double"))
-    key = lambda kind: F.when(F.col("author_key").isNotNull(), F.concat("author_key", F.lit(f"\0{kind[0]}"), kind))
-    each = keep(rows.select("id", "fetched_at", "at", key("title_key").alias("t"), key("body_key").alias("b")), "fold-keys")
+    order of the fold, with memory for its anchors.  A post without any date repeats none.
+    ``anchors``: the keys (``fold_keys``) of posts that earlier folds left standing; they
+    come before all items, and of them only those are read on that share a key with one."""
+    each = keep(fold_keys(items).withColumn("old", F.lit(False)), "fold-keys")
+    if anchors is not None:
+        keys = keep(each.select(F.explode(F.array_compact(F.array("t", "b"))).alias("key")).distinct(), "fold-new")
+        old = anchors.join(keys.toDF("t"), "t", "left_semi").unionByName(anchors.join(keys.toDF("b"), "b", "left_semi")).dropDuplicates(["id"])
+        each = keep(each.unionByName(old.select("id", "fetched_at", "at", "t", "b").withColumn("old", F.lit(True))), "fold-both")
     seen = each.select(F.explode(F.array_compact(F.array("t", "b"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     seen = keep(seen.select("key", F.xxhash64("key").alias("g")), "fold-shared")
     told = each.join(seen.select(F.col("key").alias("t"), F.col("g").alias("tg")), "t", "left").join(seen.select(F.col("key").alias("b"), F.col("g").alias("bg")), "b", "left")
@@ -115,12 +128,13 @@ def fold_repeats(items: DataFrame) -> DataFrame:
             for row in pdf.itertuples(index=False):
                 if (row.group, row.session) != unit:
                     unit, fold = (row.group, row.session), Fold()
-                found.append(fold.add(row.id, row.at, [k for k in (row.t, row.b) if isinstance(k, str)]))
-            yield pd.DataFrame({"id": pdf["id"], "dup_of": pd.Series(found, dtype=object)})
+                found.append(fold.add(row.id, row.at, [k for k in (row.t, row.b) if isinstance(k, str)], row.old))
+            told = pd.DataFrame({"id": pdf["id"], "dup_of": pd.Series(found, dtype=object)})
+            yield told[~pdf["old"].astype(bool)]
 
     kind = items.schema["id"].dataType.simpleString()
     inside = F.col("group").isNotNull() & F.col("at").isNotNull()
-    units = sessions(told.where(inside).select("group", "fetched_at", "id", "at", "t", "b"), "group", "at").select("group", "session", "fetched_at", "id", "at", "t", "b")
-    dealt = units.repartition("group", "session").sortWithinPartitions("group", "session", "fetched_at", "id")
+    units = sessions(told.where(inside).select("group", "fetched_at", "id", "at", "t", "b", "old"), "group", "at").select("group", "session", "old", "fetched_at", "id", "at", "t", "b")
+    dealt = units.repartition("group", "session").sortWithinPartitions("group", "session", F.desc("old"), "fetched_at", "id")
     folded = dealt.mapInPandas(run, f"id {kind}, dup_of {kind}")
-    return folded.union(told.where(~inside).select("id", F.lit(None).cast(kind).alias("dup_of")))
+    return folded.union(told.where(~inside & ~F.col("old")).select("id", F.lit(None).cast(kind).alias("dup_of")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corrello.functions import scoring
 from corrello.functions.indicators import TYPES, host_of, with_indicators
 from corrello.functions.text import case_text, once, snippet, source_class, strip
-from corrello.operators.dedup import fold_repeats
+from corrello.operators.dedup import fold_keys, fold_repeats
 from corrello.operators.pivots import case_queries
 from corrello.store import keep
 
@@ -59,13 +59,22 @@ class CaseTables:
     edges: DataFrame
     relationships: DataFrame
     queries: DataFrame
+    anchors: DataFrame | None = None
 
 
-def build_cases(items: DataFrame, profile: dict, threshold: float = 0.5, trusted: list[str] = TRUSTED) -> CaseTables:
+def with_notes(cases: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Add notes: where else a case was posted."""
+    notes = repeats.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("note")), "\n").alias("notes"))
+    return cases.join(notes, "case_id", "left")
+
+
+def build_cases(items: DataFrame, profile: dict, threshold: float = 0.5, trusted: list[str] = TRUSTED, anchors: DataFrame | None = None) -> CaseTables:
     """Everything derived from raw items.  Tables are pure functions of the items
-    and the profile, so processing again is calling this again."""
+    and the profile, so processing again is calling this again.  For a batch of new
+    items ``anchors`` are those of the batches before (``CaseTables.anchors``): an item may
+    then repeat a case of an earlier batch."""
     kept = keep(gate(scored(items, profile, trusted), threshold, profile.get("threshold_by_source")), "gated")
-    folds = fold_repeats(kept)
+    folds = fold_repeats(kept, anchors)
     told = kept.join(folds, "id")
     repeats = told.where("dup_of is not null").select("id", F.col("dup_of").alias("case_id"), F.format_string("Also posted: %s (%s)", F.coalesce("url", "source_ref"), "source").alias("note"))
     repeats = keep(repeats, "repeats")
@@ -101,6 +110,6 @@ def build_cases(items: DataFrame, profile: dict, threshold: float = 0.5, trusted
     named = wide.withColumn("brand", F.array_sort(F.map_keys("brand_map"))).withColumn("phrases", F.col("lure_text"))
     for t in ("telegram", "wallet_eth", "wallet_btc", "wallet_trx", "domain", "email", "github_user"):
         named = named.withColumn(t, F.array_sort(t))
-    notes = repeats.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("note")), "\n").alias("notes"))
-    cases = wide.drop("brand_map", *TYPES).withColumnRenamed("item_url", "url").join(notes, "case_id", "left")
-    return CaseTables(cases, repeats, edges, relationships, case_queries(named, profile))
+    cases = with_notes(wide.drop("brand_map", *TYPES).withColumnRenamed("item_url", "url"), repeats)
+    standing = fold_keys(kept).join(repeats.select("id"), "id", "left_anti").where("t is not null or b is not null")
+    return CaseTables(cases, repeats, edges, relationships, case_queries(named, profile), standing)

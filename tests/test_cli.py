@@ -48,3 +48,38 @@ def test_cycle_with_lookups_and_follow_ups(spark, tmp_path):
     page = tmp_path / "p.html"
     page.write_text("<h1>Title</h1><p>a recruiter job scam</p>")
     assert run("add-url", "https://x.example/", str(page)) == "1 new items"
+
+
+def test_only_pending_items_are_processed(spark, tmp_path):
+    profile = tmp_path / "profile.yaml"
+    profile.write_text("topic_terms: {job: 1.0, recruiter: 1.5}\nharm_terms: {scam: 1.5}\nlure_keywords: [wallet, test]\n")
+    home = cli.Home(spark, str(tmp_path / "home"), str(profile))
+    toot = lambda name, day, text: {"uri": name, "url": f"https://m.example/{name}", "created_at": f"2024-01-{day:02d}T00:00:00Z", "content": f"<p>{text}</p>", "account": {"acct": "jane"}}
+    text = "a recruiter job scam at https://hotel-tasks.top/start " + "that says the same words over and over again " * 6
+    batches = [[toot("a", 2, text), toot("b", 3, "a recruiter job scam of another kind")], [toot("c", 5, text), toot("d", 20, text), toot("e", 6, "the weather")], []]
+    sizes = []
+    for n, rows in enumerate(batches):
+        (tmp_path / f"{n}.json").write_text(json.dumps(rows))
+        (tmp_path / "config.json").write_text(json.dumps({"mastodon": {"path": str(tmp_path / f"{n}.json")}}))
+        cli.main(["--home", str(tmp_path / "home"), "--profile", str(profile), "collect", str(tmp_path / "config.json")])
+        sizes.append(home.process())
+    assert sizes == [2, 3, 0]
+    now = cli.F.lit(datetime(2024, 2, 1)).cast("timestamp")
+    built = home.built(now)
+    whole = cli.build_cases(home.log("raw"), home.profile, 0.5)
+    rows = lambda df: sorted(str(r.asDict(True)) for r in df.select(sorted(df.columns)).collect())
+    for name in ("cases", "repeats", "relationships", "queries"):
+        assert rows(getattr(built, name)) == rows(getattr(whole, name)), name
+    assert rows(home._read("anchors", 3)) == rows(whole.anchors)
+    assert rows(built.edges) == rows(whole.edges)
+    assert built.cases.count() == 3 and built.repeats.count() == 1 and "Also posted" in built.cases.where("notes is not null").first()["notes"]
+    # a batch that was stopped before its list of items was written does not count
+    (tmp_path / "3.json").write_text(json.dumps(toot("f", 25, "one more recruiter job scam")))
+    (tmp_path / "config.json").write_text(json.dumps({"mastodon": {"path": str(tmp_path / "3.json")}}))
+    cli.main(["--home", str(tmp_path / "home"), "--profile", str(profile), "collect", str(tmp_path / "config.json")])
+    whole.cases.drop("notes").write.parquet(f"{home._derived()}/cases/batch=2")
+    assert home._read("cases", 2).count() == 3 and home.process() == 1 and home.built(now).cases.count() == 4
+    assert home.reprocess() == 6 and home.built(now).cases.count() == 4
+    profile.write_text("topic_terms: {weather: 3.0}\nharm_terms: {weather: 1.5}\n")
+    other = cli.Home(spark, str(tmp_path / "home"), str(profile))
+    assert other._derived() != home._derived() and other.built(now).cases.count() == 1

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from corrello.functions import html, indicators, scoring, text
+from corrello.functions import html, indicators, scoring, sql, text
 from corrello.operators import dedup, evidence, fulltext, graph, overlap, pivots, search, similarity, state
 from corrello.operators.components import connected_components
 from corrello.store import fresh_path, table
@@ -36,11 +36,11 @@ PROFILE = {
 }
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, oracle: str | None = None):
     def register(f):
         QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
+        if oracle:
+            ORACLE_SQL[name] = oracle
         return f
 
     return register
@@ -175,9 +175,19 @@ UNION ALL SELECT 'doc ' || doc_id, type, value FROM ({ORACLE_SQL["extract_email"
 )
 def extract_all_types(spark, sf_dir):
     """Every indicator type over page addresses and documents together."""
+    return indicators.observables(_all_texts(spark, sf_dir), "id", tlds=[*indicators.COMMON_TLDS, "example"])
+
+
+def _all_texts(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), "page_id").alias("id"), F.col("url").alias("text"))
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), "doc_id").alias("id"), "text")
-    return indicators.observables(pages.union(docs), "id", tlds=[*indicators.COMMON_TLDS, "example"])
+    return pages.union(table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), "doc_id").alias("id"), "text"))
+
+
+@query("sql_indicators", ORACLE_SQL["extract_all_types"])
+def sql_indicators(spark, sf_dir):
+    """The same through the functions for SQL users."""
+    sql.register(spark, [*indicators.COMMON_TLDS, "example"])
+    return spark.sql("SELECT id, inline(found) FROM (SELECT id, find_iocs(text) AS found FROM {rows})", rows=_all_texts(spark, sf_dir))
 
 
 @query("page_hosts", f"SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1")

@@ -297,3 +297,34 @@ def test_shared_windows(spark, most):
     left = spark.createDataFrame(docs, "doc_id int, text string").withColumn("w", F.lit("clash"))
     got = overlap.shared_windows(left, spark.createDataFrame(items, "item_id string, text string"), "doc_id", "item_id", size=4, most=most)
     assert {tuple(r) for r in got.collect()} == want and len(want) > 40
+
+
+def test_tokens_of_one_set_only_are_not_written(spark, monkeypatch):
+    """What is kept of the sets is what pairs can share; copies of a set count once."""
+    written = {}
+
+    def keep(df, name, real=similarity.keep):
+        written[name] = real(df, name)
+        return written[name]
+
+    monkeypatch.setattr(similarity, "keep", keep)
+    monkeypatch.setattr(similarity, "forget", lambda df: None)
+    own = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(20)]
+    alike = own[0].split()
+    rows = [*own, own[3], own[3], " ".join(alike[:30] + ["new"] * 2), None]
+    members, pairs = similarity.similar_classes(spark.createDataFrame(list(enumerate(rows)), "id long, text string"), "id", "text", 0.3)
+    assert [(r["a"], r["b"]) for r in pairs.collect()] == [(0, 22)] and members.count() == 23
+    assert all("set" not in df.columns for df in written.values())
+    tokens = [t for r in written["sim-common"].where("tokens is not null").collect() for t in r["tokens"]]
+    assert len(tokens) == 2 * 29 and len(set(tokens)) == 29
+
+
+def test_packed_tokens_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, top in ((1, 2**64), (2, 2**64), (500, 2**64), (500, 300), (3, 1)):
+        tokens = np.sort(rng.integers(0, top - 1, n, np.uint64, endpoint=True))
+        docs = rng.integers(0, 1 << 16, n)
+        back = similarity._unpack(similarity._pack(tokens, docs))
+        assert back[0].tolist() == tokens.tolist() and back[1].tolist() == docs.tolist()

@@ -152,3 +152,20 @@ def test_hard_link_components_take_all_hard_rows(spark, tmp_path):
                 up[max(a, b)] = min(a, b)
     got = {r["case_id"]: r["component"] for r in catalogue.QUERIES["hard_link_components"](spark, str(tmp_path)).collect()}
     assert got == {x: root(x) for x in up} and got[1001] == 1000 and 1002 not in got
+
+
+@pytest.mark.parametrize("name", ["case_relationships", "case_rows", "case_pipeline"])
+def test_copies_with_ids_far_apart_are_one_case(spark, tmp_path, name):
+    """A document has no date: the distance of ids says nothing about seven days."""
+    from corrello.plans import catalogue
+
+    body = "the hash d41d8cd98f00b204e9800998ecf8427e with that and from them " * 5
+    rows = [(3, body, "s"), (700_003, body, "s"), (2_000_003, body, "s"), (700_004, body, "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    if name == "case_relationships":
+        assert {(r["src_value"], r["dst_value"]) for r in got if r["predicate"] == "duplicate-of"} == {("700003", "3"), ("2000003", "3")}
+    elif name == "case_rows":
+        assert {(r["case_id"], r["repeats"]) for r in got} == {("3", 2), ("700004", 0)}
+    else:
+        assert {r["case_id"] for r in got} == {"3", "700004"}

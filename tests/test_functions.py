@@ -117,3 +117,11 @@ def test_html_to_text():
     page = '<p>One<script>var t="</p>"</script> two<br>three &amp; <a href="https://x.example/a">text</a> <a class="mention" href="https://y.example">@you</a></p><style>p{}</style>'
     assert html.plain_text(page) == "One two\nthree & https://x.example/a @you"
     assert html.plain_text(None) == "" and html.plain_text("<<<") == "<<<"
+
+
+def test_only_the_types_asked_for_are_looked_for(spark):
+    df = spark.createDataFrame([(1, "http://a.example.com/x d41d8cd98f00b204e9800998ecf8427e 9.9.9.9")], "id int, text string")
+    found = indicators.observables(df, "id", types=["md5", "sha1", "sha256"])
+    assert [tuple(r) for r in found.collect()] == [(1, "md5", "d41d8cd98f00b204e9800998ecf8427e")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "github" not in plan and "telegram" not in plan

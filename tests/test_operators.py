@@ -328,3 +328,21 @@ def test_packed_tokens_come_back():
         docs = rng.integers(0, 1 << 16, n)
         back = similarity._unpack(similarity._pack(tokens, docs))
         assert back[0].tolist() == tokens.tolist() and back[1].tolist() == docs.tolist()
+
+
+def test_blocks_of_vectors_are_few(spark):
+    """Vectors are sent once per block, so blocks must not follow their number; every pair
+    of blocks, of even and odd rings, meets once."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vecs = rng.normal(size=(700, 8)).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, v array<double>").repartition(3)
+    unit = vecs / np.linalg.norm(vecs, axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.8), strict=True) if i < j}
+    for block in (None, 100, 117, 350, 700):  # 3, 7, 6, 2 and 1 blocks
+        got = [(r["a"], r["b"]) for r in similarity.embedding_pairs(df, "id", "v", 0.8, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    many = spark.range(20_000).select("id", F.array(F.sin("id"), F.cos("id")).alias("v"))
+    work = similarity._embedding_blocks(many, "id", "v", 1.1, None).where("a is null").count()
+    assert work == similarity.FEWEST * (similarity.FEWEST + 1) // 2

@@ -110,6 +110,17 @@ class Catalogue:
         return np.nan_to_num(bound, nan=np.inf, posinf=np.inf, neginf=np.inf)  # numbers too large for a bound exclude nothing
 
 
+def _sampled(vectors: DataFrame, count: int) -> DataFrame:
+    """The ``SAMPLE`` rows of the lowest hashes, of ``count`` different ones.
+
+    Every task hands its own lowest rows to the driver, so only rows whose hash is in
+    the lowest part of all, four times as many as wanted, get that far."""
+    mark = F.xxhash64("vec_id", "vec")
+    if count > 4 * SAMPLE:
+        vectors = vectors.where(mark < LOWEST + (4 * SAMPLE << 64) // count)
+    return vectors.orderBy(mark, "vec_id", "vec").limit(SAMPLE)
+
+
 class _Part:
     """The index of the vectors of one length."""
 
@@ -119,7 +130,7 @@ class _Part:
         square = float(vectors.agg(F.max(norm)).first()[0])
         if not np.isfinite(square):
             raise OverflowError("vectors are too long for scores of 64 bits")
-        sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(SAMPLE).collect()  # a bounded sample
+        sample = _sampled(vectors, count).collect()  # a bounded sample
         pivots = far_first(np.array([r["vec"] for r in sample], np.float64), min(MOST_PIVOTS, max(LEAST_PIVOTS, count // PER_PIVOT)), square)
         guides = len(pivots[:GUIDES])
         width = 2 * np.sqrt(square) / RINGS or 1.0
@@ -245,7 +256,8 @@ def _top_k_part(queries: DataFrame, index: _Part, k: int) -> DataFrame:
         chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")
         asked = wanted.groupBy("annulus", "part", chunk).agg(F.collect_list(F.struct("query_id", "vec", "floor")).alias("m"))
         asked = asked.select("annulus", "part", F.col("m.query_id").alias("qids"), F.flatten("m.vec").alias("qs"), F.col("m.floor").alias("floors"))
-        met = asked.join(index.table, ["annulus", "part"]).select("qids", "qs", "floors", "ids", "vecs")
+        # the plan knows the queries' size before they meet their annuli only, and would broadcast them
+        met = asked.hint("merge").join(index.table, ["annulus", "part"]).select("qids", "qs", "floors", "ids", "vecs")
         found = met.mapInArrow(lambda b: _search(b, dim, k), "query_id long, vec_id long, score long")
         if best is not None:
             found = found.union(best.select("query_id", "vec_id", "score"))

@@ -45,6 +45,29 @@ def test_topk_of_few_and_none(spark):
     assert topk_search.top_k(none, topk_search.Index(none), 5).count() == 0
 
 
+def test_topk_sends_the_driver_a_bounded_sample_and_broadcasts_no_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "SAMPLE", 50)
+    rng = np.random.default_rng(5)
+    df = topk_search.quantised(spark.createDataFrame([(i, rng.normal(size=4).tolist(), 0) for i in range(4000)], VEC))
+    sample = topk_search._sampled(df, 4000)
+    assert sample.count() == 50
+    assert 100 < df.where(F.xxhash64("vec_id", "vec") < topk_search.LOWEST + (200 << 64) // 4000).count() < 300
+    lowest = df.orderBy(F.xxhash64("vec_id", "vec")).limit(50)
+    assert sorted(r["vec_id"] for r in sample.collect()) == sorted(r["vec_id"] for r in lowest.collect())
+    joins = []
+    kept = topk_search.keep
+
+    def seen(frame, name):
+        if name == "topk-best":
+            joins.append(frame._jdf.queryExecution().optimizedPlan().toString() + frame._jdf.queryExecution().sparkPlan().toString())
+        return kept(frame, name)
+
+    index = topk_search.Index(df)
+    monkeypatch.setattr(topk_search, "keep", seen)
+    topk_search.top_k(df.where("vec_id % 50 = 0"), index, 5)
+    assert joins and all("SortMergeJoin [annulus" in j and "BroadcastHashJoin [annulus" not in j for j in joins)
+
+
 def test_topk_drops_no_sound_vector(spark):
     big, small = float(1 << 40), [0.25, -0.5]
     rows = [(0, [3.0, 1.0]), (1, small), (2, [big, -big]), (3, [-big, 1.0]), (4, [1e30, 1e30]), (50, [1.0] * 3), (51, [2.0] * 3), (52, [0.1] * 4), (100, [0.0, 0.0]), (100, [0.5, 0.5]), (100, [0.5, 0.5])]

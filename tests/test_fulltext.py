@@ -27,6 +27,13 @@ def test_stems_of_the_published_examples():
     assert stem("a" * 70 + "ing") == "a" * 70 + "ing"
 
 
+def test_a_last_e_stays_behind_two_letters(spark):
+    assert [stem(w) for w in ("ofes", "one", "uses", "ofing", "ofed")] == ["ofe", "one", "use", "of", "of"]
+    rows = [(1, "ofes the licensed"), (2, "of the licensed"), (3, "ofing the licensed")]
+    index = fulltext.build(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", ["text"])
+    assert sorted(r["id"] for r in fulltext.search(index, '"of the" AND licensed', None).collect()) == [2, 3]
+
+
 def scan(rows, query_words, fits):
     """ids for which ``fits`` holds of {phrase: count} by reading every text."""
     out = []

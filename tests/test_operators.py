@@ -1,6 +1,7 @@
 """Joins, graph, state and search operators against brute force or by hand."""
 
 import random
+import re
 from datetime import datetime, timedelta
 from itertools import combinations
 
@@ -346,3 +347,30 @@ def test_blocks_of_vectors_are_few(spark):
     many = spark.range(20_000).select("id", F.array(F.sin("id"), F.cos("id")).alias("v"))
     work = similarity._embedding_blocks(many, "id", "v", 1.1, None).where("a is null").count()
     assert work == similarity.FEWEST * (similarity.FEWEST + 1) // 2
+
+
+@pytest.mark.parametrize("dense", [None, 4])
+@pytest.mark.parametrize("listed", [3, 1000])
+def test_pairs_are_not_shuffled(spark, monkeypatch, dense, listed):
+    monkeypatch.setattr(graph, "LISTED", listed)
+    rng = random.Random(3)
+    rows = sorted({(f"c{rng.randrange(30):02d}", rng.choice(("domain", "email")), f"v{rng.randrange(12)}") for _ in range(160)})
+    sims = [("c01", "c02", 0.4), ("c01", "c02", 0.7), ("zz", "zzz", 0.5)]
+    edges, similar = spark.createDataFrame(rows, "case_id string, type string, value string"), spark.createDataFrame(sims, "a string, b string, sim double")
+    found = graph.similar_or_shared_pairs(edges, 9, dense, similar)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(a#\d+L?, b#", plan)
+    cases, want = {}, {}
+    for c, t, v in rows:
+        cases.setdefault((t, v), []).append(c)
+    for key, some in cases.items():
+        if 2 <= len(some) <= 9:
+            firsts = some[:1] if dense and len(some) > dense else some
+            for a, b in ((a, b) for a in firsts for b in some if a < b):
+                want.setdefault((a, b), [[], None])[0].append(key)
+    for a, b, s in sims:
+        w = want.setdefault((a, b), [[], None])
+        w[1] = max(s, w[1] or 0)
+    got = {(r["a"], r["b"]): [[(e["type"], e["value"]) for e in r["evidence"]], r["sim"]] for r in found.collect()}
+    assert got == {k: [sorted(e), s] for k, (e, s) in want.items()}
+    assert {e["weight"] for r in found.collect() for e in r["evidence"]} == {1.0}

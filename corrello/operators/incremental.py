@@ -32,13 +32,22 @@ def _touched(*tables: DataFrame) -> list[int]:
     return sorted({r["bucket"] for t in tables for r in t.select("bucket").distinct().collect()})
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` and split, dealt by bucket and split; grouping by these and more shuffles nothing again."""
+    return rows.withColumn("split", F.pmod(F.xxhash64(*by), F.lit(SPLIT))).repartition("bucket", "split")
+
+
+def _replace(dealt: DataFrame, path: str) -> None:
+    """Replace the buckets that have rows in ``dealt``, which may be read from them: the
+    old files go when all new ones are written."""
+    dealt.drop("split").sortWithinPartitions("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def _rewrite(rows: DataFrame, path: str, touched: list[int], *by: str) -> None:
     """Replace the touched buckets by ``rows`` (with bucket, written elsewhere before)."""
-    spark = rows.sparkSession
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64(*by), F.lit(SPLIT))).sortWithinPartitions("bucket")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    _replace(_dealt(rows, *by), path)
     for gone in set(touched) - set(_touched(rows)):
-        remove(spark, f"{path}/bucket={gone}")
+        remove(rows.sparkSession, f"{path}/bucket={gone}")
 
 
 class EdgeTables:
@@ -66,7 +75,7 @@ class EdgeTables:
         Edges that are there already, repeated ones too, count once; a null seen_at sets no
         sighting; edges without a case, type or value are left out."""
         key = ["case_id", "type", "value"]
-        new = added.where("case_id is not null and type is not null and value is not null").groupBy(*key).agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"))
+        new = added.where("case_id is not null and type is not null and value is not null").select(*key, F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen"))
         new = keep(new.withColumn("bucket", _bucket(self.buckets, "type", "value")), "inc-new")
         gone = None
         if withdrawn is not None:
@@ -78,11 +87,17 @@ class EdgeTables:
         old = self.edges().where(F.col("bucket").isin(touched))
         if gone is not None:
             old = old.join(gone, "case_id", "left_anti")
-        both = old.unionByName(new).groupBy("bucket", *key).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-        both = keep(both, "inc-edges")
-        seen = both.groupBy("bucket", "type", "value").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.count(F.lit(1)).alias("case_count"))
-        _rewrite(both, f"{self.folder}/edges", touched, "case_id")
-        _rewrite(keep(seen, "inc-seen"), f"{self.folder}/observables", touched, "type", "value")
+        both = old.unionByName(new)
+        emptied = set(touched) - set(_touched(both)) if gone is not None else set()
+        sightings = F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+        # dealt once: the edges are told apart and written where they then lie
+        _replace(_dealt(both, "case_id").groupBy("bucket", "split", *key).agg(*sightings), f"{self.folder}/edges")
+        for name in ("edges", "observables"):
+            for bucket in emptied:
+                remove(self.spark, f"{self.folder}/{name}/bucket={bucket}")
+        now = self.edges().where(F.col("bucket").isin(touched))
+        seen = now.groupBy("bucket", "type", "value").agg(*sightings, F.count(F.lit(1)).alias("case_count"))
+        _replace(_dealt(seen, "type", "value"), f"{self.folder}/observables")
         return touched
 
 

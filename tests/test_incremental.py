@@ -9,6 +9,7 @@ import pytest
 from corrello.operators import state
 from corrello.operators.components import connected_components
 from corrello.operators.incremental import Classes, EdgeTables
+from corrello.store import shared_dir
 
 EDGE = "case_id string, type string, value string, seen_at timestamp"
 
@@ -69,3 +70,15 @@ def test_classes_equal_components_of_all_links(spark, tmp_path, seed):
         assert sorted(map(tuple, classes.components().collect())) == want
     classes.link(spark.createDataFrame(links, "a string, b string"))  # run again
     assert sorted(map(tuple, classes.components().collect())) == want
+
+
+def test_a_batch_stages_no_more_than_its_own_rows(spark, tmp_path):
+    """What a touched bucket holds already is shuffled and written once, not staged as well."""
+    shared = shared_dir(spark).removeprefix("file://")
+    tables = EdgeTables(spark, f"{tmp_path}/t", 2)
+    tables.apply(spark.createDataFrame(random_edges(random.Random(4), range(60), 90), EDGE))
+    before = files(shared)
+    batch = random_edges(random.Random(5), range(60, 62), 90)
+    assert len(tables.apply(spark.createDataFrame(batch, EDGE))) == 2
+    staged = sorted(set(files(shared)) - set(before))
+    assert sum(spark.read.parquet(f"file://{p}").count() for p in staged) <= len(batch)

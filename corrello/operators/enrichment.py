@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from corrello.functions.text import age_days, timestamp
 from corrello.operators.state import latest
+from corrello.store import parts_for
 
 # ---- Fixed values.
 PROVIDERS = {
@@ -107,7 +108,8 @@ def derived(edges: DataFrame, log: DataFrame, as_of: Column, link_registrar: boo
     """Edges ``(case_id, type, value, role, confidence)`` and relationships
     ``(src_type, src_value, predicate, dst_type, dst_value)`` that lookups add to
     the cases of the looked-up observable."""
-    own = edges.select("case_id", F.col("type").alias("src_type"), F.col("value").alias("src_value")).distinct()
+    # what a case has twice adds nothing: what the lookups add is told apart below
+    own = edges.select("case_id", F.col("type").alias("src_type"), F.col("value").alias("src_value"))
     dns, rdap, github = dns_records(log), rdap_facts(log, as_of), github_facts(log, as_of)
     row = lambda df, predicate, kind, values, role, conf: df.select(
         F.col("type").alias("src_type"), F.col("value").alias("src_value"), F.lit(predicate).alias("predicate"), F.lit(kind).alias("dst_type"), F.explode(values).alias("dst_value"), F.lit(role).alias("role"), F.lit(conf).alias("confidence"),
@@ -124,7 +126,8 @@ def derived(edges: DataFrame, log: DataFrame, as_of: Column, link_registrar: boo
     for part in parts[1:]:
         facts = facts.union(part)
     linked = facts.union(registrars) if link_registrar else facts
-    new = linked.join(own, ["src_type", "src_value"]).groupBy("case_id", F.col("dst_type").alias("type"), F.col("dst_value").alias("value"), "role").agg(F.max("confidence").alias("confidence"))
+    new = linked.join(own, ["src_type", "src_value"]).select("case_id", F.col("dst_type").alias("type"), F.col("dst_value").alias("value"), "role", "confidence")
+    new = new.repartition(parts_for(own), "case_id").groupBy("case_id", "type", "value", "role").agg(F.max("confidence").alias("confidence"))
     every = facts.union(registrars)
     malware = results(log, "abusech").select("type", "value", F.explode(F.slice(F.from_json("payload", ABUSE)["threatfox"], 1, 10)).alias("t"))
     family = malware.where("t.malware is not null").select(F.col("type").alias("src_type"), F.col("value").alias("src_value"), F.lit("associated-with").alias("predicate"), F.lit("malware_family").alias("dst_type"), F.col("t.malware").alias("dst_value"))

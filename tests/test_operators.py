@@ -8,6 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from corrello import store
 from corrello.operators import dedup, enrichment, evidence, graph, overlap, pivots, search, similarity, state
 from corrello.operators.components import connected_components
 
@@ -374,3 +375,49 @@ def test_pairs_are_not_shuffled(spark, monkeypatch, dense, listed):
     got = {(r["a"], r["b"]): [[(e["type"], e["value"]) for e in r["evidence"]], r["sim"]] for r in found.collect()}
     assert got == {k: [sorted(e), s] for k, (e, s) in want.items()}
     assert {e["weight"] for r in found.collect() for e in r["evidence"]} == {1.0}
+
+
+def test_lookups_are_told_apart_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Edges to derive from are dealt by rows, not by their compressed size, and not told apart before."""
+    monkeypatch.setattr(store, "TASK_ROWS", 20, raising=False)
+    edges = spark.createDataFrame([(i % 90, "domain", f"d{i % 7}.example") for i in range(200)], "case_id int, type string, value string")
+    payload = '{"a":["8.8.4.4"],"ns":["ns1.example"],"resolves":true}'
+    log = [("domain", f"d{i}.example", "dns", datetime(2024, 1, 1), True, payload) for i in range(7)]
+    new, _ = enrichment.derived(edges, spark.createDataFrame(log, "type string, value string, provider string, fetched_at timestamp, ok boolean, payload string"), F.lit(datetime(2024, 6, 1)))
+    rows = new.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["case_id"], r["type"], r["value"]) for r in rows} == {(i, *x) for i in range(90) for x in (("ip", "8.8.4.4"), ("nameserver", "ns1.example"))} and len(rows) == 180
+    assert len({r["task"] for r in rows}) > 4
+
+
+def _unwound(df, marker):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(marker)
+
+
+def test_features_of_clusters_are_counted_once(spark):
+    """A summary reads the edges once, evidence lists cases of shared features only."""
+    members = spark.createDataFrame([(1, c) for c in range(6)], "component int, case_id int")
+    at = datetime(2024, 1, 1)
+    cases = spark.createDataFrame([(c, "rss:x", "a", at, "l", ["line"]) for c in range(6)], "case_id int, source string, author string, published_at timestamp, lure_type string, lure_text array<string>")
+    edges = spark.createDataFrame([(c, t, f"{t}{c // 2}") for c in range(6) for t in ("domain", "brand", "ip", "github_repo") for _ in range(2)], "case_id int, type string, value string").where("rand() < 2 and value <> 'marker'")
+    none = spark.createDataFrame([], "a int, b int, evidence array<struct<type:string,value:string,weight:double>>, sim double")
+    hubs = spark.createDataFrame([("ip", "ip0")], "type string, value string")
+    parents = spark.createDataFrame([], "type string, value string, parent string")
+    found = evidence.cluster_evidence(members, edges, none, parents, hubs)
+    assert {(r["feature"], r["value"], *r["cases"]) for r in found.collect()} == {(t, f"{t}{c}", 2 * c, 2 * c + 1) for t in ("domain", "ip", "github_repo") for c in range(3)} - {("ip", "ip0", 0, 1)}
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+    kept = spark.createDataFrame(found.collect(), found.schema)
+    rdap = spark.createDataFrame([("domain1", True)], "value string, newly_registered boolean")
+    told = evidence.summaries(members, cases, edges, none, kept, hubs, rdap)
+    row = told.first()
+    assert (row["brands"], row["young_domains"], row["shared_ips"], row["repos"]) == (["brand0", "brand1", "brand2"], ["domain1"], ["ip1", "ip2"], ["github_repo0", "github_repo1", "github_repo2"])
+    assert _unwound(told, "marker") == 0
+
+
+def test_hard_links_read_their_edges_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(store, "TASK_ROWS", 20, raising=False)
+    edges = spark.createDataFrame([(c, "domain", f"d{c // 3}") for c in range(90) for _ in range(2)] + [(c, "ip", "x") for c in range(9)], "case_id int, type string, value string")
+    held = []
+    monkeypatch.setattr(graph, "keep", lambda df, name: held.append(df) or store.keep(df, name))
+    links = {tuple(r) for r in graph.hard_links(edges, 25).collect()}
+    assert links == {(c, c - c % 3) for c in range(90) if c % 3}
+    assert held[0].withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 4

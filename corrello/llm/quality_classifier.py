@@ -189,6 +189,12 @@ def spread(text: bytes, most: int = TRAIN_BYTES, pieces: int = PIECES) -> bytes:
     return b"".join(text[at : at + size] for at in ((len(text) - size) * i // (pieces - 1) for i in range(pieces)))
 
 
+def raw_texts(texts: pa.Array) -> list[bytes]:
+    """The bytes of each text as they are stored, valid UTF-8 or not; null is empty."""
+    kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
+    return [t or b"" for t in texts.cast(kind).to_pylist()]
+
+
 def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[bytes], list[bytes]]:
     """Good and bad texts of the bounded sample, never from fold 0 (crc32 mod 5).
 
@@ -207,11 +213,12 @@ def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
 
     @F.arrow_udf("binary")
     def thinned(texts: pa.Array) -> pa.Array:
-        return pa.array([spread(t.as_py().encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
+        return pa.array([spread(t) for t in raw_texts(texts)], pa.binary())
 
     rows = docs.where("text is not null").join(F.broadcast(own), F.col("doc_id") == F.col("_id")).select("doc_id", "_quality", thinned("text").alias("_text"))
+    # a repeated row counts once, and is told apart before it comes to the driver
+    rows = rows.groupBy("doc_id", "_quality").agg(F.min("_text").alias("_text"))
     found = sorted((r["doc_id"], r["_quality"], bytes(r["_text"])) for r in rows.collect())
-    found = [x for i, x in enumerate(found) if not i or found[i - 1][0] != x[0]]  # a repeated row counts once
     return [t for _, q, t in found if q == 1], [t for _, q, t in found if q == 0]
 
 
@@ -226,7 +233,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
+            texts = raw_texts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probability(texts, params), pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -250,7 +257,7 @@ def keep_likely_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(names.index("text"))]
+            texts = raw_texts(batch.column(names.index("text")))
             if texts:
                 yield batch.filter(pa.array(probability(texts, params) >= CUT))
 

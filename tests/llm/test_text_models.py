@@ -209,3 +209,17 @@ def test_quality_rules_count_the_whole_target(spark):
     for word, t, n in (("even", even, 10_000), ("odd", odd, 10_001)):
         want = math.log((t + 1) / (even + odd + quality_rules.BUCKETS)) - math.log((n + 1) / (20_001 + quality_rules.BUCKETS))
         assert weights[hash_of(word) % quality_rules.BUCKETS] == pytest.approx(want, abs=1e-6)
+
+
+def test_broken_bytes_are_scored_and_repeated_rows_stay_on_the_executors(spark, monkeypatch):
+    """Text that is no valid UTF-8 is read as it is stored; copies of a row are one row before they are collected."""
+    rows = [(i, f"good words number {i} " * 5 if i % 2 else f"x$#@ {i} " * 9) for i in range(12) for _ in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "if(doc_id % 3 = 0, cast(concat(cast(text as binary), X'FFC3') as string), text) as text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    got = []
+    kept = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: got.append(kept(df)) or got[-1])
+    good, bad = quality_classifier.training_texts(docs, labels)
+    assert max(map(len, got)) <= 12 and any(t.endswith(b"\xff\xc3") for t in good + bad)
+    monkeypatch.undo()
+    assert quality_classifier.score_documents(docs, labels).where("score between 0 and 1").count() == 240

@@ -26,12 +26,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 from corrello.store import keep, table
 
 SIZE, OPEN_BINS, PER_TASK = 2048, 1024, 64_000_000
-#: Words whose ids a worker remembers in each of two generations.
-CACHE = 500_000
+#: Words whose ids a worker remembers in each of two generations.  A worker lives on
+#: after its task, and an executor has one or more per core.
+CACHE = 200_000
 #: New words encoded at a time, and the mark between them.
 BATCH, MARK = 2_000, "\x02"
 #: Bytes of text that are split into words at a time; longer texts go in parts.
-PART = 8 << 20
+PART = 2 << 20
 #: Marks that only ever stand in a run of their own after a word.
 TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 _BLANK = re.compile(rb"[\t-\r ]")

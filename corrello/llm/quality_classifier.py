@@ -30,8 +30,10 @@ PER_CLASS, TRAIN_BYTES, PIECES = 1_200, 32_768, 32
 STEPS, BATCH, RATE = 500, 32, 0.01
 #: A bad text weighs more in training, as the cut below favours keeping.
 BAD_WEIGHT, CUT = 2.0, 0.3
-#: Bytes scored in one numpy step.
-BLOCK = 1 << 19
+#: Bytes of texts scored together in one numpy step, and of one text scored whole.
+GROUP, BLOCK = 1 << 17, 1 << 19
+#: Rows of a batch that are taken out of Arrow at a time.
+ROWS = 1024
 PAD = 256
 
 Params = dict[str, np.ndarray]
@@ -106,7 +108,7 @@ def probability(texts: list[bytes], params: Params) -> np.ndarray:
         if len(text) > BLOCK:
             out[i] = _sigmoid(_long(text, params) @ params["out"] + params["c"][0])
             continue
-        if held + len(text) > BLOCK:
+        if held + len(text) > GROUP:
             flush()
         group.append(i)
         held += len(text) + 2 * WIDTH
@@ -195,6 +197,13 @@ def raw_texts(texts: pa.Array) -> list[bytes]:
     return [t or b"" for t in texts.cast(kind).to_pylist()]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of at most ROWS, so that few texts are there twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[bytes], list[bytes]]:
     """Good and bad texts of the bounded sample, never from fold 0 (crc32 mod 5).
 
@@ -232,7 +241,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     params = train(*training_texts(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = raw_texts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probability(texts, params), pa.float64())], ["doc_id", "score"])
 
@@ -256,9 +265,8 @@ def keep_likely_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = raw_texts(batch.column(names.index("text")))
-            if texts:
-                yield batch.filter(pa.array(probability(texts, params) >= CUT))
+            yield batch.filter(pa.array(probability(texts, params) >= CUT))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -135,3 +136,17 @@ def test_open_bins(lengths, limit):
         assert offset == used.get(found, 0) and offset + n <= 20
         used[found] = offset + n
         assert bins.count <= limit and bins.count == sum(map(len, bins.by_free))
+
+
+def test_a_worker_holds_a_small_part_of_long_texts():
+    import public_tokenizers
+
+    encode = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(5000)]
+    texts = pa.array([" ".join(words)] * 400)  # 10 MB
+    one = zlib.crc32(encode(texts[0].as_py()))
+    tracemalloc.start()
+    assert {zlib.crc32(ids) for ids in encode.column(texts)} == {one}
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6

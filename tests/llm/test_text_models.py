@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -223,3 +224,13 @@ def test_broken_bytes_are_scored_and_repeated_rows_stay_on_the_executors(spark,
     assert max(map(len, got)) <= 12 and any(t.endswith(b"\xff\xc3") for t in good + bad)
     monkeypatch.undo()
     assert quality_classifier.score_documents(docs, labels).where("score between 0 and 1").count() == 240
+
+
+def test_short_texts_are_scored_in_small_groups():
+    params = quality_classifier.train([], [])
+    texts = [bytes([97 + i % 26]) * 1000 for i in range(1200)]
+    tracemalloc.start()
+    scores = quality_classifier.probability(texts, params)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (scores == 0.5).all() and most < 40e6

@@ -2,7 +2,7 @@
 
 Windows of words are hashed where the text is; only those whose hash the other side
 has go on, which is told by a broadcast of its hashes while there are at most ``MOST``
-of them, and by a join on hashes beyond.  Only texts with such a window are read again
+of them, and by a join on hashes beyond.  Only texts with such a window are split again
 and have it written out; the words themselves decide.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrello.functions.text import once
+from corrello.functions.text import let, once
 from corrello.store import keep
 
 #: Hashes that are broadcast at most.
@@ -28,10 +28,24 @@ def _worded(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return rows.where(F.size("w") >= size).select("id", "w")
 
 
+def _mixed(hashes: Column, size: int) -> Column:
+    """A hash of every run of ``size`` hashes, by runs of twice the length at a time."""
+
+    def longer(runs: Column, length: int) -> Column:
+        if length == size:
+            return runs
+        by = min(length, size - length)
+        n = F.greatest(F.size(runs) - by, F.lit(0))
+        pairs = F.zip_with(F.slice(runs, F.lit(1), n), F.slice(runs, F.lit(1 + by), n), lambda a, b: F.xxhash64(a, b))
+        return let(pairs, lambda v: longer(v, length + by))
+
+    return let(hashes, lambda v: longer(v, 1))
+
+
 def _hashed(rows: DataFrame, size: int) -> DataFrame:
-    """``(id, at, h)`` of every window."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.xxhash64(F.slice("w", i, size)))
-    return rows.select("id", F.posexplode(hashes).alias("at", "h"))
+    """``(id, at, h)`` of every window; each word is hashed once."""
+    hashed = once(rows, {"runs": _mixed(F.transform("w", lambda w: F.xxhash64(w)), size)})
+    return hashed.select("id", F.posexplode("runs").alias("at", "h"))
 
 
 def shared_windows(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text_col: str = "text", size: int = 8, most: int = MOST) -> DataFrame:
@@ -44,6 +58,8 @@ def shared_windows(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     texts = _worded(left, left_id, text_col, size)
     found = _hashed(texts, size).join(F.broadcast(known) if known.count() <= most else known, "h", "left_semi")
     found = keep(found.groupBy("id").agg(F.collect_set("at").alias("at")), "overlap-found")
+    hit = found.select(F.col("id").alias(left_id))
+    texts = _worded(left.select(left_id, text_col).join(F.broadcast(hit) if found.count() <= most else hit, left_id, "left_semi"), left_id, text_col, size)
     written = lambda at: F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i + 1, size), " "))))
     inside = F.filter("at", lambda i: i + size <= F.size("w"))  # rows of one id may differ in length
     own = texts.join(found, "id").select("id", written(inside).alias("s")).distinct()

@@ -301,6 +301,26 @@ def test_shared_windows(spark, most):
     assert {tuple(r) for r in got.collect()} == want and len(want) > 40
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_only_texts_with_a_shared_window_are_split_again(spark, most, monkeypatch):
+    split = []
+    real = overlap._worded
+    monkeypatch.setattr(overlap, "_worded", lambda df, *a: split.append(df) or real(df, *a))
+    left = spark.createDataFrame([(i, f"x{i} y{i} z{i} a b c d" if i < 3 else f"x{i} y{i} z{i} a b") for i in range(50)], "doc_id int, text string")
+    got = overlap.shared_windows(left, spark.createDataFrame([("b", "a b c d e")], "item_id string, text string"), "doc_id", "item_id", size=4, most=most)
+    assert {tuple(r) for r in got.collect()} == {(i, "b", 1) for i in range(3)}
+    assert split[-1].count() == 3
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 8])
+def test_hashes_of_windows_tell_their_words(spark, size):
+    rng = random.Random(size)
+    rows = [(i, [rng.choice("ab") for _ in range(rng.randrange(size, size + 12))]) for i in range(40)]
+    made = {(r["id"], r["at"]): r["h"] for r in overlap._hashed(spark.createDataFrame(rows, "id int, w array<string>"), size).collect()}
+    want = {(i, at): tuple(w[at : at + size]) for i, w in rows for at in range(len(w) - size + 1)}
+    assert made.keys() == want.keys() and len(set(made.values())) == len({(made[k], want[k]) for k in made}) == len(set(want.values()))
+
+
 def test_tokens_of_one_set_only_are_not_written(spark, monkeypatch):
     """What is kept of the sets is what pairs can share; copies of a set count once."""
     written = {}

@@ -39,6 +39,16 @@ _BLANK = re.compile(rb"[\t-\r ]")
 _encoders: dict[str, WordEncoder] = {}
 
 
+def sound(texts: pa.Array) -> pa.Array:
+    """Texts that are no valid UTF-8 with U+FFFD for what is not, the others as they are."""
+    try:
+        texts.validate(full=True)
+        return texts
+    except pa.ArrowInvalid:
+        stored = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+        return pa.array([None if t is None else t.decode("utf-8", "replace") for t in stored.to_pylist()], texts.type)
+
+
 class WordEncoder:
     """Token ids of texts, by words between ASCII white space that are remembered.
 
@@ -159,7 +169,7 @@ class WordEncoder:
 
     def column(self, texts: pa.Array) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text in turn; null is empty."""
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(sound(texts), "")
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         at = 0
         while at < len(sizes):

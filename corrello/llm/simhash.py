@@ -46,9 +46,10 @@ STEP, FOREST = 65_536, 1_000_000
 FULL = (1 << 64) - 1
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
+def fingerprint(text: str | bytes | None, words_per_shingle: int = 3, seed: int = 42) -> int:
     """SimHash of one text (see ``fingerprints``); 0 for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    words = raw.lower().split()
     if not words:
         return 0
     k, n = words_per_shingle, max(1, len(words) - words_per_shingle + 1)
@@ -68,13 +69,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A-Z are lower-cased, words are runs of bytes other than ASCII white space,
     and fewer than three words form one shingle.  Null and empty texts get 0.
+    Bytes are read as they are stored, valid UTF-8 or not.
     """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"), *others)
     names = [*rows.columns[1:], "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(0)], np.uint64)
+            texts = batch.column(0)
+            stored = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+            fps = np.array([fingerprint(t.as_py()) for t in stored], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64))], names)
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], StructField("fp", LongType())]))

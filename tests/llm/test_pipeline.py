@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import public_tokenizers
+import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from corrello.llm import quality_classifier, quality_rules
+from corrello.llm import packing, quality_classifier, quality_rules, simhash
 from tests.llm.test_search_and_similarity import reach, slow_fingerprint
 
 
@@ -50,3 +51,19 @@ def test_run(spark, docs, tmp_path, monkeypatch):
         own.sort()
         ends = np.cumsum([n for _, n in own])
         assert [o for o, _ in own] == [0, *ends[:-1].tolist()] and ends[-1] <= 2048
+
+
+def test_texts_of_any_bytes_pass_the_last_two_stages(spark, docs):
+    """Text that is no valid UTF-8 is a text like any other."""
+    broken = docs([(i, f"one two three four {i}") for i in range(3)]).selectExpr("doc_id", "cast(concat(cast(text as binary), X'FFFE41') as string) AS text", "lang", "source", "n_chars")
+    fps = {r["doc_id"]: r["fp"] % (1 << 64) for r in simhash.fingerprints(broken).collect()}
+    for i, fp in fps.items():
+        words = f"one two three four {i}".encode().split()
+        words[-1] += b"\xff\xfea"  # letters are compared in lower case
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words[at : at + 3]), 42) for at in range(3)]
+        assert fp == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) >= 2)
+    kept = simhash.drop_near_duplicates(spark, broken, "")
+    assert kept.count() == len(set(reach(list(fps[i] for i in range(3)))))
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: len(plain.encode(f"one two three four {i}\ufffd\ufffdA", add_special_tokens=False).ids) + 1 for i in range(3)}
+    assert {r["doc_id"]: r["length"] for r in packing.pack_stage(spark, broken, "").collect()} == want

@@ -441,3 +441,58 @@ def test_hard_links_read_their_edges_in_bounded_tasks(spark, monkeypatch):
     links = {tuple(r) for r in graph.hard_links(edges, 25).collect()}
     assert links == {(c, c - c % 3) for c in range(90) if c % 3}
     assert held[0].withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 4
+
+
+def test_sets_alike_are_not_found_once_per_token(spark, monkeypatch):
+    """Many texts alike meet in blocks, others by their rare shingles."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(60), rng.choice((3, 8, 20))):
+            words[at] = f"x{i}{chr(97 + at % 26)}{at}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"z{i}q{k}" for k in range(20)) + f" tail{j}" for i in range(5) for j in range(3)]  # few near copies
+    shingled = [{a + " " + b for a, b in zip(t.split(), t.split()[1:], strict=False)} for t in texts]
+    want = {}
+    for a, b in combinations(range(len(texts)), 2):
+        j = len(shingled[a] & shingled[b]) / len(shingled[a] | shingled[b])
+        if j >= 0.3:
+            want[a, b] = j
+    kept = {}
+
+    def spy(df, name, own=similarity.keep):
+        kept[name] = own(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(similarity, "keep", spy)
+    for name, value in (("CROWD", 3), ("CROWD_SHARE", 10**9), ("CROWD_BLOCK", 16), ("PAIR_BLOCK", 2)):
+        monkeypatch.setattr(similarity, name, value)
+    for block in (similarity.BLOCK, 40):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        members, pairs = similarity.similar_classes(spark.createDataFrame([(f"t{i:03d}", t) for i, t in enumerate(texts)], "id string, text string"), "id", "text", 0.3)
+        got = {(int(r["a"][1:]), int(r["b"][1:])): r["jaccard"] for r in pairs.collect()}
+        assert got.keys() == want.keys() and all(got[k] == want[k] for k in want) and pairs.count() == len(want)
+    assert len(want) > 500 and kept["sim-found"].count() < len(want) / 3
+
+
+def test_sketches_rule_out_far_pairs_only(spark):
+    rng = random.Random(8)
+    sets = {}
+    for i in range(40):
+        size = rng.choice((3, 20, 70, 300))
+        own = [rng.getrandbits(63) for _ in range(size)]
+        other = sets[rng.randrange(i)][1] if i else []
+        share = rng.sample(other, min(len(other), int(size * rng.choice((0, 0.3, 0.6, 1)))))
+        sets[i] = (len({*own, *share}) + rng.choice((0, 5)), sorted({*own, *share}))
+    rows = spark.createDataFrame([(i, n, c) for i, (n, c) in sets.items()], "set_id long, n int, common array<long>")
+    sized = [(a, b) for a, b in combinations(sets, 2) if min(sets[a][0], sets[b][0]) >= 0.3 * max(sets[a][0], sets[b][0])]
+    found = spark.createDataFrame(sized, "a long, b long")
+    kept = {(r["a"], r["b"]) for r in similarity.possible_pairs(found, rows, 0.3).collect()}
+    near = set()
+    for a, b in combinations(sets, 2):
+        shared = len({*sets[a][1]} & {*sets[b][1]})
+        if shared / (sets[a][0] + sets[b][0] - shared) >= 0.3:
+            near.add((a, b))
+    assert near and near <= kept and len(kept) < len(sized) / 3

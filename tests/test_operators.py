@@ -496,3 +496,11 @@ def test_sketches_rule_out_far_pairs_only(spark):
         if shared / (sets[a][0] + sets[b][0] - shared) >= 0.3:
             near.add((a, b))
     assert near and near <= kept and len(kept) < len(sized) / 3
+
+
+def test_what_was_shuffled_for_a_kept_table_goes_with_it(spark):
+    stored = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = stored.getAllFiles().size()
+    table = store.keep(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count(), "shuffled")
+    assert stored.getAllFiles().size() <= before and table.count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -498,6 +498,13 @@ def test_sketches_rule_out_far_pairs_only(spark):
     assert near and near <= kept and len(kept) < len(sized) / 3
 
 
+def test_signatures_are_those_of_minhash(spark):
+    rows = spark.createDataFrame([(1, ["a", "b c", "d"]), (2, []), (3, [f"x{i}" for i in range(700)]), (4, ["é"])], "id long, s array<string>")
+    want = {r["id"]: r["m"] for r in rows.select("id", similarity.minhash(F.col("s")).alias("m")).collect()}
+    got = similarity.signatures(rows.select("id", F.transform("s", lambda s: F.xxhash64(s)).alias("hashes")))
+    assert {r["id"]: r["m"] for r in got.collect()} == want
+
+
 def test_what_was_shuffled_for_a_kept_table_goes_with_it(spark):
     stored = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     before = stored.getAllFiles().size()
